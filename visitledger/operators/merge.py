@@ -39,15 +39,16 @@ def rows_to_append(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return with_match(fresh).join(held, ["_match", "_row"], "left_anti").select(*new.columns)
 
 
-def rows_to_append_by_columns(existing: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
+def rows_to_append_by_columns(existing: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """New rows whose combination of typed columns the table does not hold; used when one side has no key.
 
-    Rows that agree on the columns but differ elsewhere are all new, as long as the table holds none.
+    Rows that agree on the columns but differ elsewhere are all new, as long as the table holds none; those
+    that do carry a key still end up unique by it.
     """
-    hashes = {f"_part{i}": F.coalesce(F.col(name).cast("string"), F.lit("")) for i, name in enumerate(columns)}
-    held = existing.select(*[expr.alias(name) for name, expr in hashes.items()]).distinct()
-    fresh = new.dropDuplicates().withColumns(hashes)
-    return fresh.join(held, list(hashes), "left_anti").select(*new.columns)
+    parts = {f"_part{i}": F.coalesce(F.col(name).cast("string"), F.lit("")) for i, name in enumerate(columns)}
+    held = existing.select(*[expr.alias(name) for name, expr in parts.items()]).distinct()
+    fresh = new.dropDuplicates().withColumns(parts).join(held, list(parts), "left_anti").select(*new.columns)
+    return keep_first(fresh, [key])
 
 
 def has_keys(df: DataFrame, key: str) -> bool:
@@ -56,10 +57,9 @@ def has_keys(df: DataFrame, key: str) -> bool:
 
 
 def additions(existing: DataFrame, new: DataFrame, key: str, fallback: Sequence[str] = ()) -> DataFrame:
-    """Key match when both sides carry keys, else the fallback columns."""
-    if not fallback or (has_keys(existing, key) and has_keys(new, key)):
-        return rows_to_append(existing, new, key)
-    return rows_to_append_by_columns(existing, new, fallback)
+    """Key match when both sides carry keys (or the table is still empty), else the fallback columns."""
+    by_key = not fallback or (has_keys(new, key) and (has_keys(existing, key) or existing.limit(1).isEmpty()))
+    return rows_to_append(existing, new, key) if by_key else rows_to_append_by_columns(existing, new, key, fallback)
 
 
 def not_confirmed(drafts: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:

@@ -25,7 +25,7 @@ CONFIG = PracticeConfig(
     forecast_start=date(1995, 1, 1),
     campaign_start=date(1995, 7, 1),
     exam_start=date(2024, 1, 1),
-    outlier_weeks=(date(1995, 5, 5), date(1995, 9, 22), date(1996, 1, 5)),
+    outlier_weeks=(date(2001, 3, 2), date(2001, 5, 4), date(2001, 6, 15)),
     thresholds=(Threshold(date(1, 1, 1), 190, 330, 6, 10), Threshold(date(1998, 7, 3), 150, 280, 7, 12)),
     tiers=(Tier(80, 95, 25), Tier(95, 110, 30), Tier(110, None, 35)),
     adjusted_provider="NATION_0",

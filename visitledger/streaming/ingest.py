@@ -13,11 +13,20 @@ from visitledger.sources import tables
 HORIZON = "120 days"
 
 
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory()
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder as a stream; a single file is read through its folder with a name filter."""
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if not _is_directory(spark, path):
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
     return reader.load(path)
 
 
