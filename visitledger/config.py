@@ -6,10 +6,18 @@ values that the caller sets, so a report is a pure function of its inputs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple[str, ...]], names: Sequence[str]) -> DataFrame:
+    """A configured string table as part of the plan, so that its size is known when joins are planned."""
+    structs = [F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 @dataclass(frozen=True)
@@ -70,8 +78,6 @@ OPINION_FEES = {"0": 0, "1-3": 150, "4-6": 260, "7-9": 330, "10-12": 350, "13-15
 TBI_FEE = 250
 NO_SHOW_FEE = 60
 TBI_MARKS = ("1", "r-tbi", "tbi")
-FOCUSED_BLANKS = ("lab", "visual", "visual screen", "bp check", "")
-GENMED_BLANKS = ("bp check", "")
 
 # Visit code groups.
 ESTABLISHED_CODES = ("99211", "99212", "99213", "99214", "99215")
@@ -146,6 +152,4 @@ class PracticeConfig:
         """The configured aliases as the `(alias_norm, canonical)` dimension."""
         rows = [(alias.strip().upper(), canonical) for alias, canonical in self.aliases]
         rows += [(name, name) for name in self.providers]
-        return spark.createDataFrame(sorted(set(rows)), "alias_norm string, canonical string").dropDuplicates(
-            ["alias_norm"]
-        )
+        return literal_table(spark, sorted(dict(reversed(rows)).items()), ("alias_norm", "canonical"))

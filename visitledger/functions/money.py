@@ -15,7 +15,7 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _stripped(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text.cast("string"), "[$,]", ""))
+    return F.trim(F.translate(text.cast("string"), "$,", ""))
 
 
 def is_money_text(text: Column) -> Column:

@@ -20,78 +20,85 @@ def _rule_case(rules, default, pick) -> str:
     return f"CASE {arms} ELSE {pick(*default)} END"
 
 
-def clinical_rvu_sql(rules=C.CLINICAL_RULES) -> str:
-    """SQL CASE for the points of a charge line over `services`, `charge`, `row_text`."""
-    return _rule_case(rules, C.CLINICAL_DEFAULT, lambda category, rvu: f"CAST('{rvu}' AS {RVU})")
+def clinical_rule_sql(rules=C.CLINICAL_RULES) -> str:
+    """SQL CASE for the number (from 1) of the first matching rule; one past the last when none matches."""
+    arms = " ".join(f"WHEN {rule.predicate} THEN {i}" for i, rule in enumerate(rules, 1))
+    return f"CASE {arms} ELSE {len(rules) + 1} END"
 
 
-def clinical_category_sql(rules=C.CLINICAL_RULES) -> str:
-    return _rule_case(rules, C.CLINICAL_DEFAULT, lambda category, rvu: f"'{category}'")
+def points_sql(rule: str, rules=C.CLINICAL_RULES) -> str:
+    """SQL for the points of a rule number."""
+    values = [r.rvu for r in rules] + [C.CLINICAL_DEFAULT[1]]
+    return f"element_at(array({', '.join(f'CAST({v} AS {RVU})' for v in values)}), {rule})"
+
+
+def category_sql(rule: str, rules=C.CLINICAL_RULES) -> str:
+    values = [r.category for r in rules] + [C.CLINICAL_DEFAULT[0]]
+    return f"element_at(array({', '.join(repr(v) for v in values)}), {rule})"
 
 
 def with_clinical_rvu(df, codes: str, charge: str, row_columns: tuple[str, ...], cfg: PracticeConfig):
-    """Add `rvu` and `category`. `row_columns` are the text columns searched by the row-wide rule."""
+    """Add `rvu` and `category`. `row_columns` are the text columns searched by the row-wide rule.
+
+    The rule number is its own projection, so the rule chain runs once per line for both outputs.
+    """
     row_text = F.upper(F.concat_ws(" ", *[F.col(name).cast("string") for name in row_columns]))
-    staged = df.withColumns({
-        "services": services_text(F.col(codes)),
-        "charge": F.col(charge),
-        "row_text": row_text,
-    })
-    points = F.expr(clinical_rvu_sql(cfg.clinical_rules))
-    category = F.expr(clinical_category_sql(cfg.clinical_rules))
+    staged = df.withColumns({"services": services_text(F.col(codes)), "charge": F.col(charge), "row_text": row_text})
     added = [name for name in ("services", "charge", "row_text") if name not in df.columns]
-    return staged.withColumns({"rvu": points, "category": category}).drop(*added)
+    numbered = staged.withColumn("_rule", F.expr(clinical_rule_sql(cfg.clinical_rules))).drop(*added)
+    return numbered.withColumns({
+        "rvu": F.expr(points_sql("_rule", cfg.clinical_rules)),
+        "category": F.expr(category_sql("_rule", cfg.clinical_rules)),
+    }).drop("_rule")
 
 
 def band(text: Column) -> Column:
     """Band or flag text as entered: trimmed, a spreadsheet's trailing `.0` removed, missing -> ''."""
-    cleaned = F.regexp_replace(F.trim(F.coalesce(text.cast("string"), F.lit(""))), r"\.0$", "")
-    return F.when(F.lower(cleaned).isin("nan", "none"), F.lit("")).otherwise(cleaned)
+    return F.regexp_replace(F.trim(F.coalesce(text.cast("string"), F.lit(""))), r"\.0$|^(?i:nan|none)$", "")
 
 
 def is_no_show(text: Column) -> Column:
     return band(text) == "1"
 
 
+def _lookup(key: Column, entries: dict[str, object], default: object) -> Column:
+    """Value of a small literal table; the key is computed once."""
+    table = ", ".join(f"{name!r}, {value!r}" for name, value in entries.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({table})"), key), F.lit(default))
+
+
 def _band_fee(value: Column, fees: dict[str, int]) -> Column:
-    case = F.lit(0)
-    for name, fee in fees.items():
-        case = F.when(value == name, F.lit(fee)).otherwise(case)
-    return case
+    return _lookup(value, fees, 0)
 
 
 def exam_fee(focused: Column, opinions: Column, tbi: Column, genmed: Column, no_show: Column) -> Column:
-    """Fee of one exam: the sum of its component bands, plus the no-show fee."""
-    focused, opinions, genmed = band(focused), band(opinions), band(genmed)
-    focused = F.when(F.lower(focused).isin(*C.FOCUSED_BLANKS), F.lit("0")).otherwise(focused)
-    opinions = F.when(opinions == "", F.lit("0")).otherwise(opinions)
-    genmed = F.when(F.lower(genmed).isin(*C.GENMED_BLANKS), F.lit("0")).otherwise(genmed)
+    """Fee of one exam: the sum of its component bands, plus the no-show fee.
+
+    Text such as `lab`, `visual screen` or `bp check`, a blank and an unknown band all count as no fee.
+    """
     total = (
-        _band_fee(focused, C.FOCUSED_FEES)
-        + _band_fee(opinions, C.OPINION_FEES)
+        _band_fee(band(focused), C.FOCUSED_FEES)
+        + _band_fee(band(opinions), C.OPINION_FEES)
         + F.when(F.lower(band(tbi)).isin(*C.TBI_MARKS), F.lit(C.TBI_FEE)).otherwise(F.lit(0))
-        + _band_fee(genmed, C.GENMED_FEES)
+        + _band_fee(band(genmed), C.GENMED_FEES)
         + F.when(is_no_show(no_show), F.lit(C.NO_SHOW_FEE)).otherwise(F.lit(0))
     )
     return total.cast("decimal(18,2)")
 
 
-def _exam_case(opinions: Column, no_show: Column, pick) -> Column:
-    opinions = band(opinions)
-    return (
-        F.when(is_no_show(no_show), pick(C.EXAM_NO_SHOW))
-        .when(opinions.isin("0", ""), pick(C.EXAM_NO_OPINION))
-        .when(opinions.isin(*C.FEW_OPINION_BANDS), pick(C.EXAM_FEW_OPINIONS))
-        .otherwise(pick(C.EXAM_MANY_OPINIONS))
-    )
+def _exam_class(opinions: Column, no_show: Column, part: int) -> Column:
+    none, few = C.EXAM_NO_OPINION[part], C.EXAM_FEW_OPINIONS[part]
+    classes = {"0": none, "": none} | {name: few for name in C.FEW_OPINION_BANDS}
+    by_band = _lookup(band(opinions), classes, C.EXAM_MANY_OPINIONS[part])
+    return F.when(is_no_show(no_show), F.lit(C.EXAM_NO_SHOW[part])).otherwise(by_band)
 
 
 def exam_rvu(opinions: Column, no_show: Column) -> Column:
-    return _exam_case(opinions, no_show, lambda pair: F.lit(pair[1]).cast(RVU))
+    return _exam_class(opinions, no_show, 1).cast(RVU)
 
 
 def exam_category(opinions: Column, no_show: Column) -> Column:
-    return _exam_case(opinions, no_show, lambda pair: F.lit(pair[0]))
+    return _exam_class(opinions, no_show, 0)
 
 
 def name_matches(name: Column, fragment: str) -> Column:

@@ -26,7 +26,7 @@ def register_functions(spark: SparkSession, cfg: PracticeConfig) -> list[str]:
         f"greatest(0, {'points' if tier.cap is None else f'least(points, {tier.cap})'} - {tier.floor}) * {tier.rate}.0D"
         for tier in cfg.tiers
     )
-    bare = "trim(regexp_replace(raw, '[$,]', ''))"
+    bare = "trim(translate(raw, '$,', ''))"
     pattern = money.NUMBER_PATTERN.replace("\\", "\\\\")
     bodies = {
         "week_end(day DATE)": ("DATE", "next_day(date_sub(day, 1), 'FRI')"),
@@ -35,9 +35,9 @@ def register_functions(spark: SparkSession, cfg: PracticeConfig) -> list[str]:
             f"coalesce(CASE WHEN {bare} RLIKE '{pattern}' THEN try_cast({bare} AS DECIMAL(18,2)) END, 0)",
         ),
         "rvu_value(services STRING, charge DECIMAL(18,2), row_text STRING)": (
-            rules.RVU.upper(), rules.clinical_rvu_sql(cfg.clinical_rules)),
+            rules.RVU.upper(), rules.points_sql(rules.clinical_rule_sql(cfg.clinical_rules), cfg.clinical_rules)),
         "rvu_category(services STRING, charge DECIMAL(18,2), row_text STRING)": (
-            "STRING", rules.clinical_category_sql(cfg.clinical_rules)),
+            "STRING", rules.category_sql(rules.clinical_rule_sql(cfg.clinical_rules), cfg.clinical_rules)),
         "exam_fee(focused STRING, opinions STRING, tbi STRING, genmed STRING, no_show STRING)": (
             "DECIMAL(18,2)",
             f"{_band_case(focused, C.FOCUSED_FEES)} + {_band_case(opinions, C.OPINION_FEES)}"

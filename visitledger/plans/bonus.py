@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitledger.config import PracticeConfig
+from visitledger.config import PracticeConfig, literal_table
 from visitledger.functions import dates, money
 from visitledger.plans.facts import CONFIRMED, PIPELINE
 
@@ -110,7 +110,6 @@ def past_quarter_bonus(fact: DataFrame, cfg: PracticeConfig, year: int, quarter:
 
 def available_quarters(fact: DataFrame, cfg: PracticeConfig) -> DataFrame:
     """Quarters present, newest first; the quarter of `cfg.as_of` is always among them."""
-    current = fact.sparkSession.createDataFrame(
-        [(f"{cfg.as_of.year}Q{(cfg.as_of.month + 2) // 3}",)], "quarter string")
+    current = literal_table(fact.sparkSession, [(f"{cfg.as_of.year}Q{(cfg.as_of.month + 2) // 3}",)], ("quarter",))
     present = fact.filter("service_date is not null").select(dates.quarter_key(F.col("service_date")).alias("quarter"))
     return present.unionByName(current).distinct().orderBy(F.col("quarter").desc())

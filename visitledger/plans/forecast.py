@@ -1,13 +1,16 @@
 """Weekly charge forecast: additive level, damped trend and a 4-week season, fitted by grid search.
 
 Every series is one row with its weekly values as an array (as long as the calendar, not as the data).
-Series meet the parameter grid by an explode, each pair is folded once, the best fit per series wins.
+Spark builds the series and spreads them over the tasks; inside a task a series is folded once with all
+grid points side by side as numpy vectors, and the point with the smallest squared error wins.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,43 +40,43 @@ def charge_weeks(charges: DataFrame, cfg: PracticeConfig, by: tuple[str, ...] =
     return keyed.filter("first_week is not null").withColumn("values", values).drop("_v")
 
 
-def _mean(array: Column, size: int) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v) / float(size)
+FIT = "alpha double, beta double, gamma double, phi double, level double, trend double, season array<double>, sse double"
 
 
-def _fold(values: Column, p: Column, period: int) -> Column:
-    """Run the smoothing over the values: final level, trend and season with the squared one-step errors."""
-    level0 = _mean(F.slice(values, 1, period), period)
-    trend0 = (_mean(F.slice(values, period + 1, period), period) - level0) / float(period)
-    season0 = F.transform(F.slice(values, 1, period), lambda v: v - level0)
-    start = F.struct(level0.alias("level"), trend0.alias("trend"), season0.alias("season"), F.lit(0.0).alias("sse"))
-
-    def step(acc: Column, v: Column) -> Column:
-        seasonal = F.element_at(acc["season"], 1)
-        damped = p["phi"] * acc["trend"]
-        error = v - (acc["level"] + damped + seasonal)
-        level = p["alpha"] * (v - seasonal) + (1.0 - p["alpha"]) * (acc["level"] + damped)
-        trend = p["beta"] * (level - acc["level"]) + (1.0 - p["beta"]) * damped
-        renewed = p["gamma"] * (v - acc["level"] - damped) + (1.0 - p["gamma"]) * seasonal
-        season = F.concat(F.slice(acc["season"], 2, period - 1), F.array(renewed))
-        return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"),
-                        (acc["sse"] + error * error).alias("sse"))
-
-    return F.aggregate(values, start, step)
+def fit_series(values: np.ndarray, period: int = 4) -> tuple:
+    """Best grid point of one series with its final level, trend and season (oldest season value first)."""
+    alpha, beta, gamma, phi = np.array(list(product(ALPHAS, BETAS, GAMMAS, PHIS))).T
+    first, second = sum(values[:period].tolist()) / period, sum(values[period:2 * period].tolist()) / period
+    level = np.full(alpha.shape, first)
+    trend = np.full(alpha.shape, (second - first) / period)
+    season = [np.full(alpha.shape, v - first) for v in values[:period]]
+    sse = np.zeros(alpha.shape)
+    for v in values:
+        seasonal, damped = season.pop(0), phi * trend
+        base = level + damped
+        error = v - (base + seasonal)
+        season.append(gamma * (v - level - damped) + (1.0 - gamma) * seasonal)
+        renewed = alpha * (v - seasonal) + (1.0 - alpha) * base
+        trend = beta * (renewed - level) + (1.0 - beta) * damped
+        level, sse = renewed, sse + error * error
+    i = int(np.argmin(sse))
+    return (*(float(p[i]) for p in (alpha, beta, gamma, phi, level, trend)), [float(s[i]) for s in season], float(sse[i]))
 
 
 def fit(series: DataFrame, by: tuple[str, ...] = (), period: int = 4) -> DataFrame:
     """The best parameters and final state per series; series shorter than 8 weeks have no row."""
-    grid = F.array(*[
-        F.struct(*[F.lit(value).alias(name) for name, value in zip(("alpha", "beta", "gamma", "phi"), point)])
-        for point in product(ALPHAS, BETAS, GAMMAS, PHIS)])
-    pairs = series.filter(F.size("values") >= MIN_WEEKS).select(
-        *by, "last_week", "values", F.explode(grid).alias("p"))
-    folded = pairs.select(*by, "last_week", "p", _fold(F.col("values"), F.col("p"), period).alias("state"),
-                          _mean_all(F.col("values")).alias("avg_hist"))
-    best = folded.groupBy(*by).agg(F.min_by(
-        F.struct("p", "state", "last_week", "avg_hist"), F.struct(F.col("state.sse"), "p")).alias("best"))
-    return best.filter("best is not null").select(*by, "best.*")
+    names = [part.split(" ")[0] for part in FIT.split(", ")]
+
+    @F.pandas_udf(FIT)
+    def best(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fit_series(np.asarray(v, dtype=float), period) for v in values], columns=names)
+
+    long_enough = series.filter(F.size("values") >= MIN_WEEKS)
+    if by:
+        # The rows are few and small but each costs CPU, so they are spread over all cores.
+        long_enough = long_enough.repartition(series.sparkSession.sparkContext.defaultParallelism, *by)
+    fitted = long_enough.withColumn("state", best("values"))
+    return fitted.select(*by, "last_week", _mean_all(F.col("values")).alias("avg_hist"), "state")
 
 
 def _mean_all(values: Column) -> Column:
@@ -82,8 +85,8 @@ def _mean_all(values: Column) -> Column:
 
 def forecast(fitted: DataFrame, by: tuple[str, ...] = (), steps: int = 26, period: int = 4) -> DataFrame:
     """`steps` weekly forecasts per series."""
-    ahead = fitted.select(*by, "p", "state", "last_week", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
-    phi = F.col("p.phi")
+    ahead = fitted.select(*by, "state", "last_week", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    phi = F.col("state.phi")
     damping = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0.0), lambda acc, k: acc + F.pow(phi, k))
     seasonal = F.element_at("state.season", (F.col("step") - 1) % period + 1)
     value = F.col("state.level") + damping * F.col("state.trend") + seasonal

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitledger.config import PracticeConfig, Threshold, Tier
+from visitledger.config import PracticeConfig, Threshold, Tier, literal_table
 from visitledger.functions import dates
 from visitledger.operators.dedup import keep_first
 from visitledger.sources.loaders import derive_charges, derive_exams
@@ -55,14 +55,12 @@ def aliases(spark: SparkSession, sf: str) -> DataFrame:
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     names = table(spark, sf, "supplier").join(nations, "s_nationkey").select(
         F.upper(F.trim("s_name")).alias("alias_norm"), F.col("n_name").alias("canonical"))
-    return names.unionByName(spark.createDataFrame(list(EXAM_ALIASES), "alias_norm string, canonical string"))
+    return names.unionByName(literal_table(spark, EXAM_ALIASES, ("alias_norm", "canonical")))
 
 
-def _code() -> Column:
-    code = F.lit(LAST_CODE)
-    for bound, name in reversed(CODE_BY_QUANTITY):
-        code = F.when(F.col("l_quantity") <= bound, F.lit(name)).otherwise(code)
-    return code
+def _code() -> str:
+    arms = " ".join(f"WHEN l_quantity <= {bound} THEN '{name}'" for bound, name in CODE_BY_QUANTITY)
+    return f"CASE {arms} ELSE '{LAST_CODE}' END"
 
 
 def _cents(value: Column) -> Column:
@@ -92,8 +90,8 @@ def lines(spark: SparkSession, sf: str, status: str | None = None, with_patient:
         zero.alias("sec_adjustment"), zero.alias("oth_adjustment"),
         _cents(charge * F.col("l_tax").cast("decimal(4,2)")).alias("pri_payment"),
         zero.alias("sec_payment"), zero.alias("oth_payment"), zero.alias("pat_payment"), zero.alias("other_adjustment"),
-        _code().alias("procedure_code"),
-        F.concat_ws(" ", _code(), "l_returnflag").alias("code_text"),
+        F.expr(_code()).alias("procedure_code"),
+        F.expr(f"concat_ws(' ', {_code()}, l_returnflag)").alias("code_text"),
         F.col("l_orderkey").cast("string").alias("encounter_id"),
         patient.alias("patient_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("epid"),
@@ -109,26 +107,23 @@ def drafts(spark: SparkSession, sf: str, with_patient: bool = True) -> DataFrame
     return derive_charges(lines(spark, sf, "O", with_patient).dropDuplicates(), CONFIG)
 
 
-def _band(value: Column, bounds: tuple[tuple[float, str], ...], last: str) -> Column:
-    band = F.lit(last)
-    for bound, name in reversed(bounds):
-        band = F.when(value < bound, F.lit(name)).otherwise(band)
-    return band
+def _band(bounds: tuple[tuple[float, str], ...], last: str) -> Column:
+    arms = " ".join(f"WHEN value < {bound} THEN '{name}'" for bound, name in bounds)
+    return F.expr(f"CASE {arms} ELSE '{last}' END")
 
 
 def raw_exams(spark: SparkSession, sf: str) -> DataFrame:
     """Events as exam rows; the bands follow the event value, errors are no-shows."""
-    value = F.col("value")
     return table(spark, sf, "events").select(
         F.concat(F.lit("cid_"), F.col("event_id").cast("string")).alias("case_id"),
         F.col("user_id").cast("string").alias("patient_id"),
         F.col("ts").cast("date").alias("service_date"),
         F.col("event_type").alias("provider_raw"),
-        _band(value, ((5, "lab"), (15, "0"), (40, "1-5"), (80, "6-10"), (150, "11-15")), "16+").alias("focused"),
-        _band(value, ((2, ""), (10, "0"), (25, "1-3"), (45, "4-6"), (60, "7-9"), (80, "10-12"), (110, "13-15"),
+        _band(((5, "lab"), (15, "0"), (40, "1-5"), (80, "6-10"), (150, "11-15")), "16+").alias("focused"),
+        _band(((2, ""), (10, "0"), (25, "1-3"), (45, "4-6"), (60, "7-9"), (80, "10-12"), (110, "13-15"),
                       (160, "16-18")), "19+").alias("opinions"),
-        _band(value, ((20, "0"), (50, "1")), "r-tbi").alias("tbi"),
-        _band(value, ((8, "BP check"), (12, "0"), (30, "1-5"), (70, "6-10"), (120, "11-15")), "16+").alias("genmed"),
+        _band(((20, "0"), (50, "1")), "r-tbi").alias("tbi"),
+        _band(((8, "BP check"), (12, "0"), (30, "1-5"), (70, "6-10"), (120, "11-15")), "16+").alias("genmed"),
         F.when(F.col("event_type") == "error", F.lit("1.0")).otherwise(F.lit("0")).alias("no_show"),
     )
 
