@@ -43,7 +43,7 @@ def test_keep_first_collapses_a_hot_key_before_the_shuffle(spark):
     kept = dedup.keep_first(hot.repartition(8), ["epid"])
     assert kept.count() == 20_001
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
+    assert "WindowGroupLimit" in plan.split("Exchange")[1]
 
 
 def test_merge_of_an_overlapping_pull(spark):

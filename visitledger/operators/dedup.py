@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,20 +19,19 @@ def keep_first(
     """One row per key: the smallest by `order_by`, ties broken by all remaining columns.
 
     A row whose key is blank is compared on all its columns instead, so rows without a key are never
-    folded into one another. `min(struct)` combines before the shuffle: copies of a hot key leave each
-    input partition as a single row.
+    folded into one another. `row_number = 1` is planned with a group limit on both sides of the shuffle:
+    copies of a hot key leave each input partition as a single row.
     """
+    types = dict(df.dtypes)
     rest = [name for name in df.columns if name not in order_by]
-    grouping = {f"_key{i}": F.trim(F.col(name).cast("string")) if dtype == "string" else F.col(name)
-                for i, (name, dtype) in enumerate((k, dict(df.dtypes)[k]) for k in keys)}
+    grouping = [F.trim(F.col(name)) if types[name] == "string" else F.col(name) for name in keys]
     if blank_keys_are_rows:
         keyed = F.lit(True)
         for name in keys:
             keyed = keyed & present(F.col(name))
-        grouping["_row"] = F.when(~keyed, F.struct(*[F.col(name) for name in rest]))
-    first = F.min(F.struct(*[F.col(name) for name in (*order_by, *rest)])).alias("_first")
-    kept = df.groupBy(*[expr.alias(name) for name, expr in grouping.items()]).agg(first)
-    return kept.select(*[F.col("_first").getField(name).alias(name) for name in df.columns])
+        grouping.append(F.when(~keyed, F.struct(*rest)))
+    ordered = Window.partitionBy(*grouping).orderBy(*order_by, *rest)
+    return df.withColumn("_n", F.row_number().over(ordered)).filter("_n = 1").drop("_n")
 
 
 def duplicates_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:

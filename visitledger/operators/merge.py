@@ -18,25 +18,31 @@ def merge_by_key(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return keep_first(tagged, [key], order_by=["is_new"])
 
 
-def rows_to_append(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows whose key the table does not hold yet. Only the key column of the table is read.
+def _row_hash(df: DataFrame, columns: Sequence[str]):
+    whole = F.to_json(F.struct(*[F.col(name) for name in columns]), {"ignoreNullFields": "false"})
+    return F.sha2(whole, 256)
 
-    Both sides carry at most one row per key when they meet, and rows without a key are spread by a row
-    hash, so no key can overload a task. A keyless row is new unless the table holds an equal row.
+
+def rows_to_append(existing: DataFrame, new: DataFrame, key: str, missing_is_null: bool = False) -> DataFrame:
+    """New rows whose key the table does not hold yet; a keyless row is new unless the table holds an equal row.
+
+    The keyed part of the table is read for its key column alone. With `missing_is_null` (tables written by
+    the loaders) its keyless part is found by a pushed-down null filter; otherwise blank text counts too.
+    Both sides carry at most one row per key when they meet, and keyless rows are spread by their row hash,
+    so no key can overload a task.
     """
     fresh = keep_first(new, [key])
     shared = [name for name in fresh.columns if name in existing.columns]
-
-    def with_match(df: DataFrame) -> DataFrame:
-        keyed = present(F.col(key))
-        row_hash = F.sha2(F.to_json(F.struct(*[F.col(name) for name in shared]), {"ignoreNullFields": "false"}), 256)
-        return df.withColumns({
-            "_match": F.when(keyed, F.trim(F.col(key).cast("string"))).otherwise(F.lit("")),
-            "_row": F.when(keyed, F.lit("")).otherwise(row_hash),
-        })
-
-    held = with_match(existing).select("_match", "_row").distinct()
-    return with_match(fresh).join(held, ["_match", "_row"], "left_anti").select(*new.columns)
+    keyed = present(F.col(key))
+    name = F.trim(F.col(key).cast("string"))
+    no_key = F.col(key).isNull() if missing_is_null else ~keyed
+    held = existing.filter(keyed).select(name.alias("_match"), F.lit("").alias("_row")).unionByName(
+        existing.filter(no_key).select(F.lit("").alias("_match"), _row_hash(existing, shared).alias("_row"))).distinct()
+    tagged = fresh.withColumns({
+        "_match": F.when(keyed, name).otherwise(F.lit("")),
+        "_row": F.when(keyed, F.lit("")).otherwise(_row_hash(fresh, shared)),
+    })
+    return tagged.join(held, ["_match", "_row"], "left_anti").select(*new.columns)
 
 
 def rows_to_append_by_columns(existing: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -56,10 +62,14 @@ def has_keys(df: DataFrame, key: str) -> bool:
     return key in df.columns and not df.select(key).filter(present(F.col(key))).limit(1).isEmpty()
 
 
-def additions(existing: DataFrame, new: DataFrame, key: str, fallback: Sequence[str] = ()) -> DataFrame:
+def additions(
+    existing: DataFrame, new: DataFrame, key: str, fallback: Sequence[str] = (), missing_is_null: bool = False
+) -> DataFrame:
     """Key match when both sides carry keys (or the table is still empty), else the fallback columns."""
     by_key = not fallback or (has_keys(new, key) and (has_keys(existing, key) or existing.limit(1).isEmpty()))
-    return rows_to_append(existing, new, key) if by_key else rows_to_append_by_columns(existing, new, key, fallback)
+    if by_key:
+        return rows_to_append(existing, new, key, missing_is_null)
+    return rows_to_append_by_columns(existing, new, key, fallback)
 
 
 def not_confirmed(drafts: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:

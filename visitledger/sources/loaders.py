@@ -13,11 +13,12 @@ from visitledger.sources.files import conform, repair_provider_header
 
 
 def type_charges(raw: DataFrame) -> DataFrame:
-    """Dates and money typed, missing money columns 0, text as entered."""
+    """Dates and money typed, missing money columns 0, a blank line id null, other text as entered."""
     whole = conform(raw, S.RAW_CHARGES).withColumnsRenamed(S.CHARGE_HEADERS)
     has_code_text = "Procedure Codes with Modifiers" in raw.columns
     typed = {"service_date": dates.parse_date(F.col("service_date"))}
     typed |= {name: money.clean_money(F.col(name)) for name in S.CHARGE_MONEY}
+    typed["epid"] = F.nullif(F.trim("epid"), F.lit(""))
     if not has_code_text:
         typed["code_text"] = F.coalesce("procedure_code", F.lit(""))
     return whole.withColumns(typed)
@@ -68,6 +69,7 @@ def load_exams(raw: DataFrame, cfg: PracticeConfig) -> DataFrame:
     patient = F.col("Patient_ID") if extra else F.col("case_id")
     dated = typed.withColumns({
         "service_date": dates.parse_date(F.col("service_date")), "patient_id": patient,
+        "case_id": F.nullif(F.trim("case_id"), F.lit("")),
     }).drop(*extra)
     return derive_exams(dated.filter("service_date is not null"))
 
