@@ -46,8 +46,23 @@ CODE_BY_QUANTITY = (
 LAST_CODE = "36415"
 
 
+# Column types of the shared tables; given, so that no file is opened to plan a query.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,"
+              " o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+                " l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "pages": "page_id long, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def aliases(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,34 +82,32 @@ def _cents(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
 
+_CHARGE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+_ZERO = "CAST(0 AS DECIMAL(18,2))"
+
+
 def lines(spark: SparkSession, sf: str, status: str | None = None, with_patient: bool = True) -> DataFrame:
     """Typed charge lines, not yet unique by line id. The join to the orders is left out when no report
     needs the patient."""
     items = table(spark, sf, "lineitem")
     if status:
-        items = items.filter(F.col("l_linestatus") == status)
-    joined = items.join(
-        table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    patient = F.lit(None).cast("string")
+        items = items.filter(f"l_linestatus = '{status}'")
+    joined = items.join(table(spark, sf, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_name"), "l_suppkey")
     if with_patient:
-        orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        joined = joined.join(orders, "l_orderkey")
-        patient = F.col("o_custkey").cast("string")
-    charge = _cents(F.col("l_extendedprice"))
-    zero = F.lit(0).cast("decimal(18,2)")
-    return joined.select(
-        F.col("l_shipdate").cast("date").alias("service_date"),
-        F.col("s_name").alias("provider_raw"),
-        charge.alias("charge_amount"),
-        _cents(charge * F.col("l_discount").cast("decimal(4,2)")).alias("pri_adjustment"),
-        zero.alias("sec_adjustment"), zero.alias("oth_adjustment"),
-        _cents(charge * F.col("l_tax").cast("decimal(4,2)")).alias("pri_payment"),
-        zero.alias("sec_payment"), zero.alias("oth_payment"), zero.alias("pat_payment"), zero.alias("other_adjustment"),
-        F.expr(_code()).alias("procedure_code"),
-        F.expr(f"concat_ws(' ', {_code()}, l_returnflag)").alias("code_text"),
-        F.col("l_orderkey").cast("string").alias("encounter_id"),
-        patient.alias("patient_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("epid"),
+        joined = joined.join(table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey"), "l_orderkey")
+    return joined.selectExpr(
+        "CAST(l_shipdate AS DATE) AS service_date",
+        "s_name AS provider_raw",
+        f"{_CHARGE} AS charge_amount",
+        f"CAST({_CHARGE} * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS pri_adjustment",
+        f"{_ZERO} AS sec_adjustment", f"{_ZERO} AS oth_adjustment",
+        f"CAST({_CHARGE} * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS pri_payment",
+        f"{_ZERO} AS sec_payment", f"{_ZERO} AS oth_payment", f"{_ZERO} AS pat_payment", f"{_ZERO} AS other_adjustment",
+        f"{_code()} AS procedure_code",
+        f"concat_ws(' ', {_code()}, l_returnflag) AS code_text",
+        "CAST(l_orderkey AS STRING) AS encounter_id",
+        f"CAST({'o_custkey' if with_patient else 'NULL'} AS STRING) AS patient_id",
+        "concat_ws('-', l_orderkey, l_linenumber) AS epid",
     )
 
 
