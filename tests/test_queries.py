@@ -8,7 +8,7 @@ from check_oracle import compare, connect
 import __spark_entry__ as entry_points
 from visitledger.checks import CHECKS
 
-PYTHON_ALLOWED = {"hashed_ids_arrow", "charge_forecast", "charge_forecast_stats", "incremental_sync"}
+PYTHON_ALLOWED = {"hashed_ids_arrow", "charge_forecast", "charge_forecast_stats", "charge_forecast_top_weeks", "incremental_sync"}
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pytest
 from helpers import CFG, friday
 from pyspark.sql import functions as F
 
@@ -69,6 +70,29 @@ def test_blank_ids_are_not_hashed(spark):
     assert sync.hashed(raw, sync.CHARGE_IDS, KEY).first()["Patient ID"] is None
 
 
+def test_uploads_are_hashed_or_refused(spark, tmp_path, monkeypatch):
+    path = tmp_path / "c.csv"
+    path.write_text("Patient ID,Patient ID,Encounter ID,Note\n12345,x,,a\npid_old,y,9,b\n")
+    stored = sync.store_upload(spark, str(path), "charges", str(tmp_path / "charges"), KEY)
+    rows = {r["Note"]: r for r in stored.collect()}
+    assert rows["a"]["Patient ID"].startswith("pid_") and rows["a"]["Encounter ID"] is None
+    assert rows["b"]["Patient ID"] == "pid_old" and rows["b"]["Encounter ID"].startswith("eid_")
+    assert sync.store_upload(spark, str(path), "bank", str(tmp_path / "bank")).count() == 2
+    monkeypatch.delenv("VISITLEDGER_PII_KEY", raising=False)
+    with pytest.raises(RuntimeError):
+        sync.store_upload(spark, str(path), "charges", str(tmp_path / "refused"))
+    assert not (tmp_path / "refused").exists()
+
+
+def test_stored_tables_are_hashed_once(spark, tmp_path):
+    source, target = str(tmp_path / "raw"), str(tmp_path / "hashed")
+    raw_charges(spark, [1, 2]).write.parquet(source)
+    assert sync.hash_stored_table(spark, source, target, sync.CHARGE_IDS, KEY)
+    assert not sync.hash_stored_table(spark, target, str(tmp_path / "again"), sync.CHARGE_IDS, KEY)
+    assert not sync.hash_stored_table(spark, source, str(tmp_path / "again"), {"Other": "x_"}, KEY)
+    assert spark.read.parquet(target).filter("not startswith(`Patient ID`, 'pid_')").isEmpty()
+
+
 LINES = "epid string, ts timestamp, amount double"
 
 

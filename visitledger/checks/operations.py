@@ -123,6 +123,12 @@ def unknown_provider_names(spark, sf):
     return quality.unknown_providers(V.raw_exams(spark, sf), V.aliases(spark, sf), CFG)
 
 
+@check("provider_mapping", "2.12 P3 A26", build("""
+    SELECT provider_raw, count(*) AS rows, canonical AS provider FROM lines JOIN alias ON alias_norm = upper(provider_raw) GROUP BY ALL"""))
+def provider_mapping(spark, sf):
+    return quality.provider_mapping(V.lines(spark, sf, with_patient=False), V.aliases(spark, sf))
+
+
 @check("provider_value_counts", "A26", build("SELECT provider_raw, count(*) AS rows FROM lines GROUP BY 1"))
 def provider_value_counts(spark, sf):
     return quality.value_counts(V.lines(spark, sf, with_patient=False), "provider_raw")

@@ -218,14 +218,15 @@ def _grid_values() -> str:
     return ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {p}::DOUBLE)" for a, b, g, p in points)
 
 
-_FITS = f"""
+def _fits(lines: str = "charges") -> str:
+    return f"""
     WITH RECURSIVE s AS (
         SELECT provider_raw, first(v ORDER BY t) AS v1, list(v ORDER BY t) AS vals, max(week) AS last_week FROM (
             SELECT g.provider_raw, g.week, coalesce(x.v, 0) AS v, row_number() OVER (PARTITION BY g.provider_raw ORDER BY g.week) AS t
             FROM (SELECT provider_raw, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week
-                  FROM (SELECT provider_raw, CAST(service_date + ((1 - isodow(service_date) + 7) % 7)::INT AS DATE) AS week FROM charges) GROUP BY provider_raw) g
+                  FROM (SELECT provider_raw, CAST(service_date + ((1 - isodow(service_date) + 7) % 7)::INT AS DATE) AS week FROM {lines}) GROUP BY provider_raw) g
             LEFT JOIN (SELECT provider_raw, CAST(service_date + ((1 - isodow(service_date) + 7) % 7)::INT AS DATE) AS week, CAST(sum(charge_amount) AS DOUBLE) AS v
-                       FROM charges GROUP BY ALL) x ON x.provider_raw = g.provider_raw AND x.week = g.week)
+                       FROM {lines} GROUP BY ALL) x ON x.provider_raw = g.provider_raw AND x.week = g.week)
         GROUP BY provider_raw HAVING count(*) >= 8),
     fold AS (
         SELECT provider_raw, vals, last_week, alpha, beta, gamma, phi, 0 AS t, (vals[1] + vals[2] + vals[3] + vals[4]) / 4.0::DOUBLE AS level,
@@ -247,14 +248,32 @@ _FITS = f"""
 @check("charge_forecast", "R21 A22", build(f"""
     SELECT provider_raw, CAST(k AS INT) AS step, CAST(last_week + 7 * k AS DATE) AS week,
            level + list_sum(list_transform(range(1, k + 1), lambda i: pow(phi, i))) * trend + season[(k - 1) % 4 + 1] AS forecast
-    FROM ({_FITS}) CROSS JOIN (SELECT CAST(unnest(range(1, 27)) AS INT) AS k)""", ratio=("forecast",), digits=2), digits=2)
+    FROM ({_fits()}) CROSS JOIN (SELECT CAST(unnest(range(1, 27)) AS INT) AS k)""", ratio=("forecast",), digits=2), digits=2)
 def charge_forecast(spark, sf):
     weeks = forecast.charge_weeks(V.charges(spark, sf, False), CFG, ("provider_raw",))
     return forecast.forecast(forecast.fit(weeks, ("provider_raw",)), ("provider_raw",))
 
 
-@check("charge_forecast_stats", "R21 T3")
+_COMPANY = "(SELECT 'ALL' AS provider_raw, service_date, charge_amount FROM charges)"
+_AHEAD = f"""
+    SELECT CAST(last_week + 7 * k AS DATE) AS week, list_sum(vals) / len(vals) AS avg_hist,
+           level + list_sum(list_transform(range(1, k + 1), lambda i: pow(phi, i))) * trend + season[(k - 1) % 4 + 1] AS forecast
+    FROM ({_fits(_COMPANY)}) CROSS JOIN (SELECT CAST(unnest(range(1, 27)) AS INT) AS k)"""
+
+
+def _company_fit(spark, sf):
+    return forecast.fit(forecast.charge_weeks(V.charges(spark, sf, False), CFG))
+
+
+@check("charge_forecast_stats", "R21", build(f"""
+    SELECT any_value(avg_hist) AS avg_hist, avg(forecast) AS avg_forecast, (avg(forecast) - any_value(avg_hist)) / any_value(avg_hist) * 100 AS growth_pct
+    FROM ({_AHEAD})""", ratio=("avg_hist", "avg_forecast", "growth_pct"), digits=2), digits=2)
 def charge_forecast_stats(spark, sf):
-    weeks = forecast.charge_weeks(V.charges(spark, sf, False), CFG)
-    fitted = forecast.fit(weeks)
+    fitted = _company_fit(spark, sf)
     return forecast.forecast_stats(fitted, forecast.forecast(fitted))
+
+
+@check("charge_forecast_top_weeks", "R21 T3", build(
+    f"SELECT week, forecast FROM ({_AHEAD}) ORDER BY forecast DESC, week LIMIT 3", ratio=("forecast",), digits=2), digits=2)
+def charge_forecast_top_weeks(spark, sf):
+    return forecast.top_weeks(forecast.forecast(_company_fit(spark, sf)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from visitledger.config import PracticeConfig
 from visitledger.functions import dates
+from visitledger.operators.topk import largest
 
 # Smoothing grid for level, trend, season and damping.
 ALPHAS = (0.05, 0.1, 0.2, 0.4, 0.6, 0.8)
@@ -101,3 +102,8 @@ def forecast_stats(fitted: DataFrame, predictions: DataFrame, by: tuple[str, ...
         "avg_forecast", means.select("avg_forecast").scalar())
     growth = F.when(F.col("avg_hist") > 0, (F.col("avg_forecast") - F.col("avg_hist")) / F.col("avg_hist") * 100.0)
     return joined.withColumn("growth_pct", F.coalesce(growth, F.lit(0.0)))
+
+
+def top_weeks(predictions: DataFrame, k: int = 3) -> DataFrame:
+    """The k weeks with the largest forecast."""
+    return largest(predictions.select("week", "forecast"), "forecast", k, "week")

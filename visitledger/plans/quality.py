@@ -109,11 +109,15 @@ def _exact_duplicates(table: str, df: DataFrame) -> DataFrame:
     return _rows(table, extra, [at_most("exact duplicates", F.col("duplicates"), 0)])
 
 
-def unknown_providers(df: DataFrame, aliases: DataFrame, cfg: PracticeConfig, raw: str = "provider_raw") -> DataFrame:
-    """Distinct raw names that no alias maps to a listed provider."""
+def provider_mapping(df: DataFrame, aliases: DataFrame, raw: str = "provider_raw") -> DataFrame:
+    """Distinct raw names with their canonical form and row count."""
     names = df.filter(present(F.col(raw))).groupBy(F.col(raw).alias("provider_raw")).agg(F.count(F.lit(1)).alias("rows"))
-    known = rules.with_canonical_provider(names, "provider_raw", aliases)
-    return known.filter(~F.col("provider").isin(*cfg.providers))
+    return rules.with_canonical_provider(names, "provider_raw", aliases)
+
+
+def unknown_providers(df: DataFrame, aliases: DataFrame, cfg: PracticeConfig, raw: str = "provider_raw") -> DataFrame:
+    """Raw names that no alias maps to a listed provider; the productivity reports leave their rows out."""
+    return provider_mapping(df, aliases, raw).filter(~F.col("provider").isin(*cfg.providers))
 
 
 def _provider_check(table: str, df: DataFrame, aliases: DataFrame, cfg: PracticeConfig) -> DataFrame:
