@@ -16,9 +16,9 @@ from visitledger.sources import shared_tables as V
 DEMO_KEY = b"demo-key-for-cross-checks-only"
 
 
-def _raw_charges(spark, sf):
-    """The confirmed lines as an export file would hold them: text, with currency marks and US dates."""
-    lines = V.lines(spark, sf, "F")
+def _raw_charges(spark, sf, status="F"):
+    """The lines as an export file would hold them: text, with currency marks and US dates."""
+    lines = V.lines(spark, sf, status)
     as_text = {
         "service_date": dates.us_date_text(F.col("service_date")),
         "charge_amount": F.concat(F.lit("$"), F.format_number("charge_amount", 2)),
@@ -40,6 +40,15 @@ def charges_loaded(spark, sf):
                          "total_adjustments", "total_payments", "allowed", "revenue_model")
 
 
+@check("drafts_loaded", "S5 P4 P5 U3 G10", build("""
+    SELECT DISTINCT epid, service_date, week, code_text, charge_amount, pri_payment AS total_payments, allowed, 'draft' AS charge_status
+    FROM drafts""", money=("charge_amount", "total_payments", "allowed")))
+def drafts_loaded(spark, sf):
+    loaded = loaders.load_drafts(_raw_charges(spark, sf, "O"), V.CONFIG)
+    return loaded.select("epid", "service_date", "week", "code_text", "charge_amount", "total_payments", "allowed",
+                         "charge_status").dropDuplicates()
+
+
 @check("charge_csv_lines", "S1 S2 P1", build("""
     SELECT epid, service_date, charge_amount, pri_payment FROM charges""", money=("charge_amount", "pri_payment")))
 def charge_csv_lines(spark, sf):
