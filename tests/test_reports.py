@@ -347,7 +347,9 @@ def test_fit_beats_every_other_grid_point():
 
     rng = np.random.default_rng(1)
     values = 50 + rng.normal(0, 5, 60) + np.tile([0, 5, 10, 5], 15)
-    best = forecast.fit_series(values)
+    longer = np.concatenate([values, values[:7]])
+    best = forecast.fit_block([values[:31], longer, values, values[:9]])[2]
+    assert best == forecast.fit_block([values])[0]
 
     def sse(alpha, beta, gamma, phi):
         level = sum(values[:4]) / 4

@@ -35,33 +35,66 @@ def charge_weeks(charges: DataFrame, cfg: PracticeConfig, by: tuple[str, ...] =
     weekly = recent.groupBy(*by, week).agg(F.sum("charge_amount").cast("double").alias("v"))
     keyed = weekly.groupBy(*by).agg(
         F.min("week").alias("first_week"), F.max("week").alias("last_week"),
-        F.map_from_entries(F.collect_list(F.struct("week", "v"))).alias("_v"))
-    weeks = F.sequence("first_week", "last_week", F.expr("INTERVAL 7 DAYS"))
-    values = F.transform(weeks, lambda w: F.coalesce(F.try_element_at(F.col("_v"), w), F.lit(0.0)))
-    return keyed.filter("first_week is not null").withColumn("values", values).drop("_v")
+        F.sort_array(F.collect_list(F.struct("week", "v"))).alias("_weeks"))
+
+    def with_gap(entry: Column, i: Column) -> Column:
+        before = F.get(F.col("_weeks"), i - 1)["week"]
+        missing = F.when(i == 0, F.lit(0)).otherwise((F.date_diff(entry["week"], before) / 7 - 1).cast("int"))
+        return F.concat(F.array_repeat(F.lit(0.0), missing), F.array(entry["v"]))
+
+    values = F.flatten(F.transform("_weeks", with_gap))
+    return keyed.filter("first_week is not null").withColumn("values", values).drop("_weeks")
 
 
 FIT = "alpha double, beta double, gamma double, phi double, level double, trend double, season array<double>, sse double"
 
 
-def fit_series(values: np.ndarray, period: int = 4) -> tuple:
-    """Best grid point of one series with its final level, trend and season (oldest season value first)."""
+BLOCK = 64
+
+
+def fit_block(series: list[np.ndarray], period: int = 4) -> list[tuple]:
+    """Best grid point of each series with its final level, trend and season (oldest season value first).
+
+    State arrays are (series, grid point). Longer series come first, so the ones that still have values at a
+    step are a leading slice.
+    """
+    order = sorted(range(len(series)), key=lambda i: -len(series[i]))
+    lengths = np.array([len(series[i]) for i in order])
+    values = np.zeros((len(series), lengths[0]))
+    for row, i in enumerate(order):
+        values[row, :lengths[row]] = series[i]
     alpha, beta, gamma, phi = np.array(list(product(ALPHAS, BETAS, GAMMAS, PHIS))).T
-    first, second = sum(values[:period].tolist()) / period, sum(values[period:2 * period].tolist()) / period
-    level = np.full(alpha.shape, first)
-    trend = np.full(alpha.shape, (second - first) / period)
-    season = [np.full(alpha.shape, v - first) for v in values[:period]]
-    sse = np.zeros(alpha.shape)
-    for v in values:
-        seasonal, damped = season.pop(0), phi * trend
-        base = level + damped
+    shape = (len(series), alpha.size)
+
+    def mean(start):
+        total = values[:, start]
+        for k in range(start + 1, start + period):
+            total = total + values[:, k]
+        return total / period
+
+    first = mean(0)
+    level = np.repeat(first[:, None], shape[1], axis=1)
+    trend = np.repeat(((mean(period) - first) / period)[:, None], shape[1], axis=1)
+    season = np.repeat((values[:, :period] - first[:, None])[:, :, None], shape[1], axis=2)
+    sse = np.zeros(shape)
+    for t in range(lengths[0]):
+        n = int(np.count_nonzero(lengths > t))
+        v, old, slot = values[:n, t, None], level[:n], t % period
+        seasonal, damped = season[:n, slot].copy(), phi * trend[:n]
+        base = old + damped
         error = v - (base + seasonal)
-        season.append(gamma * (v - level - damped) + (1.0 - gamma) * seasonal)
+        season[:n, slot] = gamma * (v - old - damped) + (1.0 - gamma) * seasonal
         renewed = alpha * (v - seasonal) + (1.0 - alpha) * base
-        trend = beta * (renewed - level) + (1.0 - beta) * damped
-        level, sse = renewed, sse + error * error
-    i = int(np.argmin(sse))
-    return (*(float(p[i]) for p in (alpha, beta, gamma, phi, level, trend)), [float(s[i]) for s in season], float(sse[i]))
+        trend[:n] = beta * (renewed - old) + (1.0 - beta) * damped
+        level[:n] = renewed
+        sse[:n] += error * error
+    fits: list[tuple] = [()] * len(series)
+    for row, i in enumerate(order):
+        best = int(np.argmin(sse[row]))
+        state = (alpha[best], beta[best], gamma[best], phi[best], level[row, best], trend[row, best])
+        seasons = [float(season[row, (lengths[row] + k) % period, best]) for k in range(period)]
+        fits[i] = (*(float(x) for x in state), seasons, float(sse[row, best]))
+    return fits
 
 
 def fit(series: DataFrame, by: tuple[str, ...] = (), period: int = 4) -> DataFrame:
@@ -70,12 +103,15 @@ def fit(series: DataFrame, by: tuple[str, ...] = (), period: int = 4) -> DataFra
 
     @F.pandas_udf(FIT)
     def best(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit_series(np.asarray(v, dtype=float), period) for v in values], columns=names)
+        arrays = [np.asarray(v, dtype=float) for v in values]
+        fits = [fit for i in range(0, len(arrays), BLOCK) for fit in fit_block(arrays[i:i + BLOCK], period)]
+        return pd.DataFrame(fits, columns=names)
 
-    long_enough = series.filter(F.size("values") >= MIN_WEEKS)
+    span = F.date_diff("last_week", "first_week")
+    long_enough = series.filter(span >= 7 * (MIN_WEEKS - 1))
     if by:
         # The rows are few and small but each costs CPU, so they are spread over all cores.
-        long_enough = long_enough.repartition(series.sparkSession.sparkContext.defaultParallelism, *by)
+        long_enough = long_enough.repartition(series.sparkSession.sparkContext.defaultParallelism)
     fitted = long_enough.withColumn("state", best("values"))
     return fitted.select(*by, "last_week", _mean_all(F.col("values")).alias("avg_hist"), "state")
 
