@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -26,9 +27,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below `spark.checkpoint.dir`; only a session without that setting (tests) gets a local one."""
+    """A fresh folder below `spark.checkpoint.dir`.
+
+    Only a local session without that setting (tests) gets a folder of its own; on a cluster such a folder would be on one
+    machine's disk, so there a session without the setting is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="visitledger-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="visitledger-")
