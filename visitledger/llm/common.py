@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,20 @@ def text_bytes(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices of few rows, so that no task turns a whole batch into Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of few rows and, but for single long values, few bytes, so that no task turns a whole
+    batch into Python objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+            end = min(batch.num_rows, start + rows, max(start + 1, fits))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def fold_case() -> bytes:
