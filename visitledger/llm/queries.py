@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitledger.llm import chunk_bpe, context_tree, exact_dedup, language, license_scan, ngram_join, packing, sharding, suffix_dedup
+from visitledger.llm import chunk_bpe, context_tree, exact_dedup, language, license_scan, ngram_join, packing, sharding, suffix_dedup, vector_dedup
 from visitledger.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op1_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_fold(10) == 0
     scored = context_tree.score_texts(read_table(spark, sf_dir, "documents"), ~held_out)
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_shard_bytes, op3_context_tree, op4_ngram_join, op5_pack, op6_license_scan, op7_suffix_dedup, op8_chunk_bpe, op9_exact_dedup, op10_language_id)}
+    op1_shard_bytes, op2_pivot_vectors, op3_context_tree, op4_ngram_join, op5_pack, op6_license_scan, op7_suffix_dedup, op8_chunk_bpe, op9_exact_dedup, op10_language_id)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
