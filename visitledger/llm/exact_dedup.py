@@ -145,8 +145,8 @@ def _hash(batches):
         yield pa.RecordBatch.from_arrays([ids, seen, pa.array(digests, pa.binary())], schema=MEMBERS)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, keep_id, group_size, kept, text_sha256)`, one row for each input row."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(seen, doc_id, keep_id, group_size, kept, text_sha256)`; `seen` is monotonically_increasing_id() of `docs`."""
     parts = shuffle_parts(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("seen"),
@@ -157,5 +157,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .mapInArrow(_own, "text_hash binary, keep long, keep_seen long, size long"))
     members = rows.mapInArrow(_hash, "doc_id long, seen long, text_hash binary")
     return members.join(owned, "text_hash").select(
-        "doc_id", F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"),
+        "seen", "doc_id", F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("seen") == F.col("keep_seen")).alias("kept"), F.lower(F.hex("text_hash")).alias("text_sha256"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id, keep_id, group_size, kept, text_sha256)`, one row for each input row."""
+    return grouped(docs, id_col, text_col).drop("seen")

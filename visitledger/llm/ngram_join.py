@@ -11,8 +11,8 @@ segments, one for each fragment, and a fragment counts alone:
 3. The overlap of a candidate pair is counted fragment by fragment, and the partial counts are summed for each pair.
 
 Equal sets are one class from the start. Components need no all-pairs list: in each posting list the set with the
-smallest share of n-grams of its own is compared with the others first; then another set. Sets that a link already
-connects are not compared again; all pairs left between different components are, without any cap.
+smallest share of n-grams of its own is compared with the others first. Sets that a link already connects are not compared
+again; all pairs left between different components are, without any cap.
 
 Defined results: a text without words (or null) has the empty set and links with nothing; with fewer words than the n-gram
 size the whole sequence is the one n-gram; repeated rows are equal sets; an empty table gives an empty result; further
@@ -33,7 +33,7 @@ from visitledger.llm.shingles import set_keys, shingle_sets
 
 MARK = 0
 CHUNK_BYTES = 16 << 20
-SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+SETS = pa.schema([("seen", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 SEGMENTS = pa.schema([
     ("fragment", pa.int32()), ("counted", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()),
     ("tokens", pa.binary())])
@@ -43,9 +43,9 @@ SHARED = pa.schema([("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 def _sets(size: int):
     def sets(batches):
         for part in slices(batches):
-            tokens, sizes = shingle_sets(part.column(1).to_pylist(), size)
+            tokens, sizes = shingle_sets(part.column(2).to_pylist(), size)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(set_keys(tokens, sizes)), pa.array(sizes, pa.int64())], schema=SETS)
+                [part.column(0), part.column(1), pa.array(set_keys(tokens, sizes)), pa.array(sizes, pa.int64())], schema=SETS)
 
     return sets
 
@@ -145,12 +145,14 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
               text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """`(doc_id, key, n)` for each row, and `(key, component)` for each linked set."""
+    """`(seen, doc_id, key, n)` for each row, and `(key, component)` for each linked set."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     bits = min(16, max(6, (parts - 1).bit_length()))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
-    sets = kept(rows.mapInArrow(_sets(size), "doc_id long, key long, n long"), "ngram-sets")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("seen"), F.col(id_col).cast("bigint").alias("doc_id"),
+        text_bytes(text_col).alias("text"))
+    sets = kept(rows.mapInArrow(_sets(size), "seen long, doc_id long, key long, n long"), "ngram-sets")
     shared = kept(
         rows.select("text").mapInArrow(
             _segments(size, bits), "fragment int, counted boolean, keys binary, counts binary, tokens binary")
@@ -215,12 +217,24 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     return sets, labels.withColumnRenamed("node", "key")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """`(doc_id, n_shingles, component_id)`, one row for each input row."""
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(seen, doc_id, n_shingles, component_id, kept)`; `seen` is monotonically_increasing_id() of `docs`.
+
+    Of each component the row with the smallest id is kept, of rows that repeat it the first; null ids come last. Rows
+    without words are kept.
+    """
     sets, labels = near_sets(docs, size, percent, id_col, text_col)
     placed = sets.join(labels, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    smallest = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "seen")
+    smallest = placed.where("n > 0").groupBy("component").agg(F.min(first).alias("first"))
+    worded = F.col("n") > 0
     return placed.join(smallest, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+        "seen", "doc_id", F.col("n").alias("n_shingles"),
+        F.when(worded, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~worded | (F.col("seen") == F.col("first.seen"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """`(doc_id, n_shingles, component_id)`, one row for each input row."""
+    return grouped(docs, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")

@@ -43,7 +43,8 @@ REGIONS = pa.schema([
     ("ids", pa.list_(pa.int64())), ("shards", pa.list_(pa.int64())), ("bytes", pa.list_(pa.binary()))])
 SPANS = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.int32()))])
 CUT = pa.schema([
-    ("seen", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32())), ("kept_bytes", pa.binary())])
+    ("seen", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32())), ("kept_bytes", pa.binary()),
+    ("kept_text", pa.string())])
 
 
 def anchors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, ...]]:
@@ -323,13 +324,16 @@ def _cut(batches):
                 keep.append(text[at:a])
                 at = b
             keep.append(text[at:])
-            rows.append((seen, sum(gone[1::2]) - sum(gone[0::2]), gone, b"".join(keep)))
+            left = b"".join(keep)
+            whole = b"".join(k.decode("utf-8", "ignore").encode() for k in keep).decode()
+            rows.append((seen, sum(gone[1::2]) - sum(gone[0::2]), gone, left, whole))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
 
 
 def long_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """`(seen, doc_id, n_bytes, text_sha256, ...)` for each row in the order of reading, and `(seen, n_removed, spans,
-    kept_bytes)` for the rows that lose bytes; `spans` holds from and to of each removed run."""
+    kept_bytes, kept_text)` for the rows that lose bytes; `spans` holds from and to of each removed run, `kept_text` the
+    whole characters left."""
     spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("seen"), F.col(id_col).cast("bigint").alias("doc_id"),
@@ -358,7 +362,7 @@ def long_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         .groupBy("bucket").applyInArrow(_marker(length), "id long, spans array<int>"), "repeat-spans")
     gone = each.join(spans, "id").groupBy("seen").agg(F.collect_list(F.struct("at", "spans")).alias("gone"))
     cut = regions.select("seen", "text").join(gone, "seen").select("seen", "text", "gone.at", "gone.spans").mapInArrow(
-        _cut, "seen long, n_removed long, spans array<int>, kept_bytes binary")
+        _cut, "seen long, n_removed long, spans array<int>, kept_bytes binary, kept_text string")
     return scanned, cut
 
 
