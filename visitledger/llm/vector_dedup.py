@@ -142,7 +142,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int = PIVOT
     fitted: dict[int, list] = {}
     for r in classes.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= sample).select("v").collect():
         fitted.setdefault(len(r["v"]), []).append(r["v"])
-    chosen = {dim: far_apart(unit(np.array(some, float)), pivots) for dim, some in fitted.items()}
+    # Few vectors get few pivots, else each would be its own nearest one.
+    chosen = {dim: far_apart(unit(np.array(some, float)), min(pivots, max(8, len(some) // 8))) for dim, some in fitted.items()}
 
     entries = classes.mapInArrow(
         _describe(chosen, nearest), "list long, node long, size long, pivots array<int>, unit binary")
