@@ -1,7 +1,7 @@
 """Connected components of an edge table, by contraction in Spark.
 
 Each task first replaces its edges by the star edges of its own spanning forest. Then, in rounds, each node hooks onto its
-smallest neighbour, pointers are doubled a few times, and the edges are drawn anew between the roots, until none is left.
+smallest neighbour, pointers are doubled, and the edges are drawn anew between the roots, until none is left.
 Every round's tables are written to the shared folder, so a lost executor costs one round at most.
 """
 
@@ -52,11 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = drawn.union(drawn.select("b", "a"))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select(
             "node", F.least("node", "up").alias("up"))
-        for _ in range(2):
-            hooks = kept(hooks, "hooks")
-            above = hooks.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            hooks = hooks.join(above, "up").select("node", F.col("upper").alias("up"))
         hooks = kept(hooks, "hooks")
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        hooks = kept(hooks.join(above, "up").select("node", F.col("upper").alias("up")), "hooks")
         moved = hooks.withColumnRenamed("node", "component")
         labels = kept(labels.join(moved, "component", "left").select(
             "node", F.coalesce("up", "component").alias("component")), "labels")

@@ -11,7 +11,7 @@ segments, one for each fragment, and a fragment counts alone:
 3. The overlap of a candidate pair is counted fragment by fragment, and the partial counts are summed for each pair.
 
 Equal sets are one class from the start. Components need no all-pairs list: in each posting list the set with the
-smallest share of n-grams of its own is compared with the others first. Sets that a link already connects are not compared
+smallest share of n-grams of its own is the hub, and each set is compared with the best hub it meets first. Sets that a link already connects are not compared
 again; all pairs left between different components are, without any cap.
 
 Defined results: a text without words (or null) has the empty set and links with nothing; with fewer words than the n-gram
@@ -133,14 +133,13 @@ def _shared(table: pa.Table) -> pa.Table:
         [pa.array(owner[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], schema=SHARED)
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs `(a, b, n_a, n_b)` that reach the threshold: partial overlaps by fragment, summed for each pair."""
+def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """`(a, b, n_a, n_b, overlap)` of pairs that overlap: partial overlaps by fragment, summed for each pair."""
     left = segments.select(F.col("key").alias("a"), "fragment", F.col("tokens").alias("ta"))
     right = segments.select(F.col("key").alias("b"), "fragment", F.col("tokens").alias("tb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
         "a", "b", "n_a", "n_b", F.size(F.array_intersect("ta", "tb")).alias("partial"))
-    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
-    return overlap.where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b")
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
 
 
 def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -169,7 +168,7 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
         F.col("held") * 100 >= F.col("n") * percent).select("key", (F.col("n") - F.col("held")).alias("alone"))
     alive = counted.join(alive, "key")
 
-    fragment = F.shiftrightunsigned("token", 61).cast("int")
+    fragment = F.shiftrightunsigned("token", 62).cast("int")
     segments = kept(
         alive.groupBy("key", fragment.alias("fragment")).agg(F.collect_list("token").alias("tokens")), "ngram-segments")
     # n-grams that no other set holds are the rarest, so they come before all others.
@@ -177,43 +176,54 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     prefix = kept(
         alive.select("token", "key", "n", "alone", place.alias("place")).where(
             F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "ngram-prefix")
-    postings = prefix.withColumn("component", F.col("key"))
+    columns = ("key", "n", "alone", "place", "component", "hub", "common")
+    postings = prefix.withColumn("component", F.col("key")).withColumns(
+        {"hub": F.lit(None).cast("bigint"), "common": F.lit(None).cast("bigint")})
 
     def paired(one: DataFrame, other: DataFrame) -> DataFrame:
-        """Candidate pairs of different components, by length and by the places of a shared n-gram."""
-        a = one.select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "component")])
-        b = other.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "component")])
-        room = F.least("place_a", "place_b") + F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))
+        """Candidate pairs of different components, by length, by the places of a shared n-gram, and by a common hub."""
+        a = one.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+        b = other.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
+        # n-grams that one set alone holds are behind no place and never part of an overlap.
+        room = F.least(F.expr("place_a - alone_a"), F.expr("place_b - alone_b")) + F.least(
+            F.expr("n_a - place_a"), F.expr("n_b - place_b"))
+        # Two sets share at most what either shares with their hub, and at most what either has besides.
+        over_hub = F.least("common_a", "common_b") + F.greatest(F.lit(0), F.least(
+            F.expr("n_a - alone_a - common_a"), F.expr("n_b - alone_b - common_b")))
+        most = F.least(room, F.when(F.col("hub_a") == F.col("hub_b"), over_hub))
         return a.join(b, "token").where(
             (F.col("component_a") != F.col("component_b"))
             & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            & (room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+            & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         ).select(
             F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"),
             F.when(F.col("key_a") < F.col("key_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
             F.when(F.col("key_a") < F.col("key_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
 
-    links = None
-    for hub in (F.struct(F.col("alone") / F.col("n"), "key"), F.struct(F.xxhash64("key"), "key"), None):
-        if hub is None:
-            pairs = paired(postings, postings).where("a < b")
-        else:
-            hubs = postings.groupBy("token").agg(
-                F.min_by(F.struct("key", "n", "place", "component"), hub).alias("hub"),
-                F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "hub.*")
-            pairs = paired(hubs, postings)
-        found = _linked(kept(pairs, "ngram-pairs"), segments, percent)
-        links = kept(found if links is None else links.union(found), "ngram-links")
-        labels = components(links)
-        postings = prefix.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "component", F.coalesce("component", "key"))
-        if hub is not None:
-            # A posting list within one component has nothing left to find.
-            open_lists = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-                "low <> high").select("token")
-            postings = kept(postings.join(open_lists, "token"), "ngram-open")
-            if postings.isEmpty():
-                break
+    similar = F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")
+
+    # The hub of a list is its fullest set; each set is compared with the fullest hub it meets.
+    full = F.struct((F.col("alone") / F.col("n")).alias("share"), "key")
+    hubs = postings.groupBy("token").agg(
+        F.min_by(F.struct(*columns), full).alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first.*")
+    met = postings.select("token", F.col("key").alias("own")).join(hubs, "token").where("own <> key")
+    best = met.groupBy("own").agg(F.min(full).alias("full")).select(
+        "own", F.col("full.key").alias("hub"), F.least("own", "full.key").alias("a"), F.greatest("own", "full.key").alias("b"))
+    pairs = paired(hubs, postings).join(best.select("a", "b").distinct(), ["a", "b"])
+    checked = kept(_overlaps(kept(pairs, "ngram-pairs"), segments), "ngram-overlaps")
+    links = checked.where(similar).select("a", "b")
+    labels = components(links)
+
+    # A list within one component has nothing left to find; in the others, all pairs of different components are compared.
+    common = best.join(checked, ["a", "b"]).select(F.col("own").alias("key"), "hub", F.col("overlap").alias("common"))
+    postings = prefix.join(labels.withColumnRenamed("node", "key"), "key", "left").join(common, "key", "left").withColumns({
+        "component": F.coalesce("component", "key"), "hub": F.coalesce("hub", "key"), "common": F.coalesce("common", "n")})
+    left = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low <> high").select("token")
+    postings = kept(postings.join(left, "token"), "ngram-open")
+    if not postings.isEmpty():
+        pairs = kept(paired(postings, postings).where("a < b"), "ngram-pairs")
+        labels = components(links.union(_overlaps(pairs, segments).where(similar).select("a", "b")))
     return sets, labels.withColumnRenamed("node", "key")
 
 
