@@ -21,10 +21,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitledger.llm.common import kept, shuffle_parts, slices, text_bytes
@@ -174,16 +177,16 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     # n-grams that no other set holds are the rarest, so they come before all others.
     place = F.col("alone") + F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
     prefix = kept(
-        alive.select("token", "key", "n", "alone", place.alias("place")).where(
+        alive.select("token", "df", "key", "n", "alone", place.alias("place")).where(
             F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "ngram-prefix")
     columns = ("key", "n", "alone", "place", "component", "hub", "common")
     postings = prefix.withColumn("component", F.col("key")).withColumns(
         {"hub": F.lit(None).cast("bigint"), "common": F.lit(None).cast("bigint")})
 
-    def paired(one: DataFrame, other: DataFrame) -> DataFrame:
+    def paired(one: DataFrame, other: DataFrame, *more: Column) -> DataFrame:
         """Candidate pairs of different components, by length, by the places of a shared n-gram, and by a common hub."""
-        a = one.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
-        b = other.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
+        a = one.select("token", *[F.col(c).alias(f"{c}_a") for c in one.columns if c != "token"])
+        b = other.select("token", *[F.col(c).alias(f"{c}_b") for c in other.columns if c != "token"])
         # n-grams that one set alone holds are behind no place and never part of an overlap.
         room = F.least(F.expr("place_a - alone_a"), F.expr("place_b - alone_b")) + F.least(
             F.expr("n_a - place_a"), F.expr("n_b - place_b"))
@@ -195,6 +198,7 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
             (F.col("component_a") != F.col("component_b"))
             & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
             & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+            & reduce(and_, more, F.lit(True))
         ).select(
             F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"),
             F.when(F.col("key_a") < F.col("key_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
@@ -222,7 +226,16 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
         "low <> high").select("token")
     postings = kept(postings.join(left, "token"), "ngram-open")
     if not postings.isEmpty():
-        pairs = kept(paired(postings, postings).where("a < b"), "ngram-pairs")
+        # With both prefixes at hand a pair is a row once, in the list of its first shared n-gram. Beyond the prefix that ends
+        # first nothing but the rest of that set can be shared.
+        whole = prefix.join(postings.select("key").distinct(), "key").groupBy("key").agg(
+            F.array_sort(F.collect_list(F.struct("df", "token"))).getField("token").alias("rare"))
+        listed = postings.join(whole, "key")
+        shared_rare = F.array_intersect("rare_a", "rare_b")
+        behind = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_a", "n_b")])
+        pairs = kept(paired(
+            listed, listed, F.col("key_a") < F.col("key_b"), F.element_at(shared_rare, 1) == F.col("token"),
+            (F.size(shared_rare) + behind) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent), "ngram-pairs")
         labels = components(links.union(_overlaps(pairs, segments).where(similar).select("a", "b")))
     return sets, labels.withColumnRenamed("node", "key")
 
