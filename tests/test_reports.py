@@ -142,7 +142,7 @@ def test_recommendations(spark):
     found = {(r["rule"], r["subject"]) for r in rows}
     assert ("company_on_target", "ALL") in found and ("below_breakeven", "P1") in found and ("at_industry", "P3") in found
     assert ("declined", "P2") in found and ("variable", "P4") in found and ("extremes", "P3") in found
-    assert next(r["text"] for r in rows if r["rule"] == "declined") == "P2's production has declined 50% over the last 4 weeks vs the prior 4 weeks."
+    assert next(r["text"] for r in rows if r["rule"] == "declined") == "P2 made 50% less in the latest four weeks than in the four before."
     assert [r["seq"] for r in rows] == sorted(r["seq"] for r in rows)
 
 

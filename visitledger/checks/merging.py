@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -162,7 +162,41 @@ def sync_rollup(spark, sf):
     return tables.overall_status(_audit(spark, sf))
 
 
-@check("incremental_sync", "R25 S11 S12 S14 S15 S16 J2", build("""
+_WINDOW = (date(1994, 1, 1), date(1996, 12, 31))
+
+
+@check("sync_rejects", "R25 S15 S16", build("""
+    WITH w AS (SELECT epid, l_returnflag <> 'N' AND service_date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31' AS inside FROM lines)
+    SELECT 'fetched' AS measure, count(*) AS n FROM w WHERE inside
+    UNION ALL SELECT 'refused', count(*) FROM w WHERE NOT inside
+    UNION ALL SELECT 'added', count(DISTINCT epid) FROM w WHERE inside
+    UNION ALL SELECT 'stored', count(DISTINCT epid) FROM w WHERE inside
+    UNION ALL SELECT 'rejected', count(DISTINCT epid) FROM w WHERE NOT inside
+    UNION ALL SELECT 'added again', 0"""))
+def sync_rejects(spark, sf):
+    """Lines with code flag N have no readable date here; they and lines outside the window are kept apart, none is lost."""
+    from visitledger.checks.scalars import DEMO_KEY
+    from visitledger.session import shared_dir
+    from visitledger.sources import schemas
+
+    back = {typed: header for header, typed in schemas.CHARGE_HEADERS.items()}
+    lines = V.lines(spark, sf)
+    day = F.when(F.endswith("code_text", F.lit("N")), F.lit("soon")).otherwise(dates.us_date_text(F.col("service_date")))
+    raw = lines.withColumn("service_date", day).select(*[F.col(c).cast("string").alias(back[c]) for c in lines.columns])
+    root = shared_dir(spark, "sync-rejects")
+    table, audit = f"{root}/charges", f"{root}/audit"
+    first, again = [
+        sync.sync_charges(spark, raw, table, audit, V.CONFIG, DEMO_KEY, now=lambda: datetime(2001, 8, 15), window=_WINDOW)
+        for _ in range(2)]
+    for result in (first, again):
+        if result.status != "success":
+            raise RuntimeError(result.error_message)
+    rows = [("fetched", first.records_fetched), ("refused", first.records_rejected), ("added", first.records_new), ("added again", again.records_new),
+            ("stored", spark.read.parquet(table).count()), ("rejected", spark.read.parquet(f"{table}-rejected").count())]
+    return spark.createDataFrame(rows, "measure string, n long")
+
+
+@check("incremental_sync", "R25 S11 S15 J2", build("""
     SELECT 'first' AS run, count(*) AS fetched, count(DISTINCT epid) AS added FROM lines WHERE l_returnflag <> 'N'
     UNION ALL
     SELECT 'second', count(*), count(DISTINCT CASE WHEN epid NOT IN (SELECT epid FROM lines WHERE l_returnflag <> 'N') THEN epid END) FROM lines

@@ -66,7 +66,7 @@ def _checks(table: str, rows: list[tuple[str, str, str, float]]) -> str:
     return " UNION ALL ".join(_ROW.format(t=table, n=n, v=v, op=op, b=b) for n, v, op, b in rows)
 
 
-@check("charge_quality", "R26 2.12 A26 U6 G18", build("""
+@check("charge_quality", "R26 2.12 A26 U6", build("""
     WITH m AS (SELECT (SELECT count(*) FROM lines) AS n, (SELECT date_diff('day', min(service_date), max(service_date)) FROM lines) AS span,
         (SELECT count(*) FROM lines WHERE service_date < DATE '1995-02-01') AS old, (SELECT count(*) FROM lines WHERE service_date > DATE '2001-11-13') AS ahead,
         (SELECT count(*) FROM lines WHERE length(patient_id) >= 5) AS rawp, (SELECT count(*) FROM lines WHERE length(encounter_id) >= 5) AS rawe,

@@ -231,25 +231,25 @@ _NAME = "upper(left(provider, 1)) || lower(substr(provider, 2))"
     m AS (SELECT avg(rvu) AS mean FROM owner_company),
     lows AS (SELECT week, row_number() OVER (ORDER BY week) AS i, count(*) OVER () AS n, mean FROM owner_company CROSS JOIN m WHERE rvu < mean * 0.5)
     SELECT 'company_on_target' AS rule, 'ALL' AS subject, 'success' AS type, mean AS metric, 150 AS threshold,
-           printf('Company-wide production is on target at %.1f avg RVUs/week (breakeven: 150).', mean) AS text FROM m WHERE mean >= 150
+           printf('All providers together average %.1f RVUs a week, enough for the weekly floor of 150.', mean) AS text FROM m WHERE mean >= 150
     UNION ALL SELECT 'company_below', 'ALL', 'warning', mean, 150,
-           printf('Company-wide average of %.1f RVUs/week is %.1f below the 150 breakeven target.', mean, 150 - mean) FROM m WHERE mean < 150
+           printf('All providers together average %.1f RVUs a week: %.1f short of the weekly floor of 150.', mean, 150 - mean) FROM m WHERE mean < 150
     UNION ALL SELECT 'below_breakeven', provider, 'alert', avg_weekly, 7,
-           printf('%s is averaging %.1f RVUs/week, %.1f below the individual breakeven (7).', name, avg_weekly, 7 - avg_weekly) FROM k WHERE avg_weekly < 7
+           printf('%s: %.1f RVUs a week on average, %.1f under the own floor of 7.', name, avg_weekly, 7 - avg_weekly) FROM k WHERE avg_weekly < 7
     UNION ALL SELECT 'at_industry', provider, 'success', avg_weekly, 12,
-           printf('%s is at or above the industry standard (12 RVUs/week), averaging %.1f.', name, avg_weekly) FROM k WHERE avg_weekly >= 12
+           printf('%s reaches the target of 12 RVUs a week with a mean of %.1f.', name, avg_weekly) FROM k WHERE avg_weekly >= 12
     UNION ALL SELECT 'declined', provider, 'alert', change, -20,
-           printf('%s''s production has declined %.0f%% over the last 4 weeks vs the prior 4 weeks.', name, abs(change)) FROM k WHERE prior > 0 AND change <= -20
+           printf('%s made %.0f%% less in the latest four weeks than in the four before.', name, abs(change)) FROM k WHERE prior > 0 AND change <= -20
     UNION ALL SELECT 'rising', provider, 'success', change, 20,
-           printf('%s is trending up %.0f%% over the last 4 weeks vs the prior 4 weeks.', name, change) FROM k WHERE prior > 0 AND change >= 20
+           printf('%s made %.0f%% more in the latest four weeks than in the four before.', name, change) FROM k WHERE prior > 0 AND change >= 20
     UNION ALL SELECT 'variable', provider, 'info', cv, 0.6,
-           printf('%s shows high week-to-week variability (std dev: %.1f RVUs). Consistent scheduling may help.', name, std_dev) FROM k WHERE cv > 0.6
+           printf('Weeks of %s differ much (standard deviation %.1f RVUs); look at how the days are booked.', name, std_dev) FROM k WHERE cv > 0.6
     UNION ALL SELECT 'extremes', t.provider, 'info', t.avg_weekly, l.avg_weekly,
-           printf('Top performer: %s (%.1f avg RVUs/week). Lowest: %s (%.1f avg RVUs/week).', t.name, t.avg_weekly, l.name, l.avg_weekly)
+           printf('Highest mean: %s with %.1f RVUs a week; lowest mean: %s with %.1f.', t.name, t.avg_weekly, l.name, l.avg_weekly)
         FROM (SELECT * FROM k ORDER BY avg_weekly DESC, rank LIMIT 1) t, (SELECT * FROM k ORDER BY avg_weekly, rank LIMIT 1) l WHERE t.provider <> l.provider
     UNION ALL SELECT 'low_weeks', 'ALL', 'info', any_value(n), any_value(mean) * 0.5,
-           'Low-production weeks detected (likely holidays/closures): ' || string_agg(strftime(week, '%b %-d'), ', ' ORDER BY week)
-           || CASE WHEN any_value(n) > 3 THEN ' (+' || any_value(n) - 3 || ' more)' ELSE '' END || '.' FROM lows WHERE i <= 3 HAVING count(*) > 0""",
+           'Weeks under half of the usual production: ' || string_agg(strftime(week, '%b %-d'), ', ' ORDER BY week)
+           || CASE WHEN any_value(n) > 3 THEN ' and ' || any_value(n) - 3 || ' others' ELSE '' END || '.' FROM lows WHERE i <= 3 HAVING count(*) > 0""",
     ratio=("metric", "threshold")))
 def owner_insights(spark, sf):
     return owner.recommendations(grid_of(spark, sf), CFG).drop("seq")
@@ -277,4 +277,7 @@ def owner_sections(spark, sf):
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows
+    # Six rows: taken here so that the grid need not stay in the session's cache.
+    found = spark.createDataFrame(rows.collect(), rows.schema)
+    sections["grid"].unpersist()
+    return found

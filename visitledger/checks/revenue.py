@@ -151,7 +151,7 @@ def group_revenue_history(spark, sf):
     return _history(spark, sf)
 
 
-@check("group_baseline", "R23 W12 A17", build(f"""
+@check("group_baseline", "R23", build(f"""
     SELECT avg(group_va_revenue) AS va_mean, stddev_samp(group_va_revenue) AS va_std, avg(CAST(group_pc_revenue AS DOUBLE)) AS pc_mean,
            stddev_samp(CAST(group_pc_revenue AS DOUBLE)) AS pc_std, count(*) AS months
     FROM (SELECT * FROM ({_MONTHS}) QUALIFY row_number() OVER (ORDER BY month DESC) <= 6)""",

@@ -139,7 +139,7 @@ def exam_fees(spark, sf):
         "case_id", "service_date", "week", "exam_revenue", "is_no_show", "rvu", "category")
 
 
-@check("hashed_ids", "P16 S13", build(f"""
+@check("hashed_ids", "P16", build(f"""
     SELECT c_custkey, 'pid_' || substr(sha256(unhex('{bytes(b ^ 0x5C for b in DEMO_KEY.ljust(64, bytes(1))).hex()}')
              || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in DEMO_KEY.ljust(64, bytes(1))).hex()}') || encode(CAST(c_custkey AS VARCHAR))))), 1, 32) AS patient_id,
            'cid_kept' AS kept
@@ -150,7 +150,7 @@ def hashed_ids(spark, sf):
     return pii.hash_columns_builtin(rows, {"patient_id": "pid_", "kept": "cid_"}, DEMO_KEY)
 
 
-@check("hashed_ids_arrow", "P16 S13", build(f"""
+@check("hashed_ids_arrow", "P16", build(f"""
     SELECT c_custkey, 'pid_' || substr(sha256(unhex('{bytes(b ^ 0x5C for b in DEMO_KEY.ljust(64, bytes(1))).hex()}')
              || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in DEMO_KEY.ljust(64, bytes(1))).hex()}') || encode(CAST(c_custkey AS VARCHAR))))), 1, 32) AS patient_id
     FROM customer"""))
@@ -220,7 +220,7 @@ def appointment_reasons(spark, sf):
     return files.parse_reason_xml(payload, "xml")
 
 
-@check("markup_only", "P36 S7", build("""
+@check("markup_only", "P36", build("""
     SELECT page_id, regexp_replace(html, '>([^<]+)<', '><', 'g') AS markup FROM pages"""))
 def markup_only(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", rules.markup_only(F.col("html")).alias("markup"))

@@ -8,25 +8,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CLINIC_ZONE = "America/New_York"
+MONTH_NAMED = (
+    r"(?i)^(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)[.]? +([0-9]{1,2}),? +([0-9]{4})($|[ ])")
 
 
 def parse_date(text: Column) -> Column:
-    """US or ISO date text -> DATE, anything else -> NULL."""
+    """US or ISO date text -> DATE, anything else -> NULL. A time of day after a blank is ignored.
+
+    Forms: `1/15/2023`, `2023-01-15`, `1/15/23`, `1-15-2023`, `2023/1/15`, `Jan 15, 2023` (or the whole month name). Two-digit
+    years from 69 on are of the last century.
+    """
     text = F.trim(text.cast("string"))
+
+    def as_day(value: Column, form: str) -> Column:
+        return F.try_to_timestamp(value, F.lit(form)).cast("date")
+
     us_long = text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}($|[ ])")
-    us_short = text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$")
+    us_short = text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}($|[ ])")
+    us_dashed = text.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}($|[ ])")
     iso = text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}")
+    year_first = text.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}($|[ ])")
+    named = text.rlike(MONTH_NAMED)
+    day = F.substring_index(text, " ", 1)
+    short = as_day(day, "M/d/yy")
+    month = F.initcap(F.substring(text, 1, 3))
     return (
-        F.when(us_long, F.try_to_timestamp(F.substring_index(text, " ", 1), F.lit("M/d/yyyy")).cast("date"))
-        .when(us_short, F.try_to_timestamp(text, F.lit("M/d/yy")).cast("date"))
+        F.when(us_long, as_day(day, "M/d/yyyy"))
         .when(iso, text.try_cast("date"))
+        .when(us_short, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))
+        .when(us_dashed, as_day(day, "M-d-yyyy"))
+        .when(year_first, as_day(day, "yyyy/M/d"))
+        .when(named, as_day(F.concat_ws(
+            " ", month, F.regexp_extract(text, MONTH_NAMED, 1), F.regexp_extract(text, MONTH_NAMED, 2)), "MMM d yyyy"))
     )
 
 
-def parse_timestamp(text: Column) -> Column:
-    return F.trim(text.cast("string")).try_cast("timestamp")
-
-
 def us_date_text(day: Column) -> Column:
     """`M/D/YYYY` without leading zeros, the export form."""
     return F.date_format(day, "M/d/yyyy")

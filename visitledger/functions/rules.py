@@ -15,11 +15,6 @@ def services_text(codes: Column) -> Column:
     return F.upper(F.coalesce(codes, F.lit("")))
 
 
-def _rule_case(rules, default, pick) -> str:
-    arms = " ".join(f"WHEN {rule.predicate} THEN {pick(rule.category, rule.rvu)}" for rule in rules)
-    return f"CASE {arms} ELSE {pick(*default)} END"
-
-
 def clinical_rule_sql(rules=C.CLINICAL_RULES) -> str:
     """SQL CASE for the number (from 1) of the first matching rule; one past the last when none matches."""
     arms = " ".join(f"WHEN {rule.predicate} THEN {i}" for i, rule in enumerate(rules, 1))
@@ -132,14 +127,23 @@ def normalize_name(name: Column) -> Column:
 def with_canonical_provider(df, raw: str, aliases, out: str = "provider"):
     """Left join on the alias table; an unknown name falls back to its upper-cased form, null stays null.
 
-    The alias table is unhinted: Spark broadcasts it when its measured size allows and shuffles otherwise.
+    A name listed twice stands for the first of its canonical names in text order, so no fact row is ever multiplied;
+    `alias_conflicts` lists such names. The alias table is unhinted: Spark broadcasts it when its measured size allows and
+    shuffles otherwise.
     """
     keyed = df.withColumn("_alias", normalize_name(F.col(raw)))
-    names = aliases.select(F.col("alias_norm").alias("_alias"), F.col("canonical").alias("_canonical"))
+    names = aliases.groupBy(F.col("alias_norm").alias("_alias")).agg(F.min("canonical").alias("_canonical"))
     joined = keyed.join(names, "_alias", "left")
     return joined.withColumn(out, F.coalesce("_canonical", "_alias")).drop("_alias", "_canonical")
 
 
+def alias_conflicts(aliases):
+    """Names that the alias table gives more than one canonical name: `(alias_norm, canonical_names, used)`."""
+    listed = aliases.groupBy("alias_norm").agg(
+        F.count_distinct("canonical").alias("canonical_names"), F.min("canonical").alias("used"))
+    return listed.filter("canonical_names > 1")
+
+
 def display_name(canonical: Column) -> Column:
     return F.initcap(F.lower(canonical))
 

@@ -26,10 +26,10 @@ def _row_hash(df: DataFrame, columns: Sequence[str]):
 def rows_to_append(existing: DataFrame, new: DataFrame, key: str, missing_is_null: bool = False) -> DataFrame:
     """New rows whose key the table does not hold yet; a keyless row is new unless the table holds an equal row.
 
-    The keyed part of the table is read for its key column alone. With `missing_is_null` (tables written by
-    the loaders) its keyless part is found by a pushed-down null filter; otherwise blank text counts too.
-    Both sides carry at most one row per key when they meet, and keyless rows are spread by their row hash,
-    so no key can overload a task.
+    The keyed part of the table is read for its key column alone and first reduced to the keys of the new rows: the small
+    side is on the right, so the table is not shuffled when their measured size allows a broadcast. With `missing_is_null`
+    (tables written by the loaders) its keyless part is found by a pushed-down null filter; otherwise blank text counts too.
+    New rows carry at most one row per key, and keyless rows are spread by their row hash, so no key can overload a task.
     """
     fresh = keep_first(new, [key])
     shared = [name for name in fresh.columns if name in existing.columns]
@@ -37,12 +37,14 @@ def rows_to_append(existing: DataFrame, new: DataFrame, key: str, missing_is_nul
     name = F.trim(F.col(key).cast("string"))
     no_key = F.col(key).isNull() if missing_is_null else ~keyed
     held = existing.filter(keyed).select(name.alias("_match"), F.lit("").alias("_row")).unionByName(
-        existing.filter(no_key).select(F.lit("").alias("_match"), _row_hash(existing, shared).alias("_row"))).distinct()
+        existing.filter(no_key).select(F.lit("").alias("_match"), _row_hash(existing, shared).alias("_row")))
     tagged = fresh.withColumns({
         "_match": F.when(keyed, name).otherwise(F.lit("")),
         "_row": F.when(keyed, F.lit("")).otherwise(_row_hash(fresh, shared)),
     })
-    return tagged.join(held, ["_match", "_row"], "left_anti").select(*new.columns)
+    asked = tagged.select("_match", "_row").distinct()
+    met = held.join(asked, ["_match", "_row"], "left_semi")
+    return tagged.join(met, ["_match", "_row"], "left_anti").select(*new.columns)
 
 
 def rows_to_append_by_columns(existing: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

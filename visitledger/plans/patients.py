@@ -165,16 +165,21 @@ def _visit_lines(charges: DataFrame, provider: str) -> DataFrame:
 def encounters(charges: DataFrame, provider: str = "provider_raw") -> DataFrame:
     """One row per provider and encounter: its code flags, first date and patient.
 
-    Flags are boolean aggregates, so an encounter with any number of lines takes constant memory.
+    Flags are boolean aggregates, so an encounter with any number of lines takes constant memory. Lines fold by patient too at
+    first: fixed-width values aggregate by hash, the patient of the first date is picked from the few rows left. A line without
+    a date or patient gives way to one with it.
     """
     code = F.trim(F.col("procedure_code"))
     lines = _visit_lines(charges, provider).filter(F.col("encounter_id").isNotNull())
-    return lines.groupBy("provider", "encounter_id").agg(
+    per_patient = lines.groupBy("provider", "encounter_id", "patient_id").agg(
         F.bool_or(F.coalesce(code.isin(*FACE_TIME), F.lit(False))).alias("face_time"),
         F.bool_or(F.coalesce(code.isin(*NEW), F.lit(False))).alias("new_code"),
         F.bool_or(F.coalesce(code.isin(*PHYSICAL), F.lit(False))).alias("physical"),
-        F.min(F.struct("service_date", "patient_id")).alias("first"),
-    ).select("provider", "encounter_id", "face_time", "new_code", "physical", "first.service_date", "first.patient_id")
+        F.min("service_date").alias("service_date"))
+    order = F.struct(F.col("service_date").isNull(), "service_date", F.col("patient_id").isNull(), "patient_id")
+    return per_patient.groupBy("provider", "encounter_id").agg(
+        *[F.bool_or(name).alias(name) for name in ("face_time", "new_code", "physical")],
+        F.min("service_date").alias("service_date"), F.min_by("patient_id", order).alias("patient_id"))
 
 
 def provider_visits_weekly(charges: DataFrame, provider: str = "provider_raw") -> DataFrame:

@@ -217,7 +217,7 @@ def receivables(exams: DataFrame, cfg: PracticeConfig) -> DataFrame:
 
 
 def bank_by_month(bank: DataFrame) -> DataFrame:
-    """Amounts and closing balance per month of the bank table."""
+    """Amounts and number of entries per month of the bank table."""
     dated = bank.filter("entry_date is not null")
     return dated.groupBy(dates.month_start(F.col("entry_date")).alias("month")).agg(
         F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("entries"))

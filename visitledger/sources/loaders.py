@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitledger.config import PracticeConfig
@@ -12,13 +12,23 @@ from visitledger.sources import schemas as S
 from visitledger.sources.files import conform, repair_provider_header
 
 
+CHARGE_NAMES = ("epid", "patient_id", "encounter_id", "provider_raw")
+EXAM_NAMES = ("case_id", "patient_id", "provider_raw")
+
+
+def named(text: Column) -> Column:
+    """An id or name, trimmed; blank and `nan` are missing values."""
+    bare = F.trim(text)
+    return F.when(~F.lower(bare).isin("", "nan"), bare)
+
+
 def type_charges(raw: DataFrame) -> DataFrame:
-    """Dates and money typed, missing money columns 0, a blank line id null, other text as entered."""
+    """Dates and money typed, missing money columns 0, ids and names trimmed with one missing value, other text as entered."""
     whole = conform(raw, S.RAW_CHARGES).withColumnsRenamed(S.CHARGE_HEADERS)
     has_code_text = "Procedure Codes with Modifiers" in raw.columns
     typed = {"service_date": dates.parse_date(F.col("service_date"))}
     typed |= {name: money.clean_money(F.col(name)) for name in S.CHARGE_MONEY}
-    typed["epid"] = F.nullif(F.trim("epid"), F.lit(""))
+    typed |= {name: named(F.col(name)) for name in CHARGE_NAMES if name in whole.columns}
     if not has_code_text:
         typed["code_text"] = F.coalesce("procedure_code", F.lit(""))
     return whole.withColumns(typed)
@@ -68,8 +78,8 @@ def load_exams(raw: DataFrame, cfg: PracticeConfig) -> DataFrame:
     typed = conform(fixed, S.all_strings([*S.EXAM_HEADERS, *extra])).withColumnsRenamed(S.EXAM_HEADERS)
     patient = F.col("Patient_ID") if extra else F.col("case_id")
     dated = typed.withColumns({
-        "service_date": dates.parse_date(F.col("service_date")), "patient_id": patient,
-        "case_id": F.nullif(F.trim("case_id"), F.lit("")),
+        "service_date": dates.parse_date(F.col("service_date")), "patient_id": named(patient),
+        **{name: named(F.col(name)) for name in EXAM_NAMES if name in typed.columns and name != "patient_id"},
     }).drop(*extra)
     return derive_exams(dated.filter("service_date is not null"))
 

@@ -87,6 +87,7 @@ AUDIT = T.StructType([
     T.StructField("completed_at", T.TimestampType()),
     T.StructField("error_message", T.StringType()),
     T.StructField("last_sync_date", T.DateType()),
+    T.StructField("records_rejected", T.LongType()),
 ])
 
 REVIEW = T.StructType([
