@@ -74,6 +74,14 @@ def test_available_quarters(spark):
     assert [r["quarter"] for r in bonus.available_quarters(frame, CFG).collect()] == ["2026Q1", "2025Q4", "2025Q3"]
 
 
+def test_group_baseline_takes_the_newest_six_months(spark):
+    rows = [(date(2025, m, 1), 1000.0 * m, Decimal(m)) for m in range(1, 9)]
+    got = revenue.group_baseline(spark.createDataFrame(rows, "month date, group_va_revenue double, group_pc_revenue decimal(18,2)")).first()
+    spread = 3.5 ** 0.5
+    assert got["months"] == 6 and got["va_mean"] == 5500 and got["pc_mean"] == 5.5
+    assert got["va_std"] == pytest.approx(1000 * spread) and got["pc_std"] == pytest.approx(spread)
+
+
 # -- productivity and owner ---------------------------------------------------------------------------------
 
 
@@ -137,6 +145,17 @@ def test_company_totals_agree(spark):
     assert by(owner.breakeven_rates(grid, CFG))["P3"]["hit_rate"] == 100
 
 
+def test_many_low_weeks(spark):
+    start = date(2025, 9, 5)
+    rows = [(start + timedelta(days=7 * i), "P2", 10.0 if i in (1, 4, 5, 9, 16) else 100.0) for i in range(17)]
+    grid = spark.createDataFrame(rows, "week date, provider string, rvu double")
+    found = owner.low_weeks(grid).collect()
+    assert [(r["seq"], r["week"], r["low_weeks"]) for r in found] == [
+        (1, rows[1][0], 5), (2, rows[4][0], 5), (3, rows[5][0], 5)]
+    text = owner.recommendations(grid, CFG).filter("rule = 'low_weeks'").first()["text"]
+    assert text.endswith("Sep 12, Oct 3, Oct 10 and 2 others.")
+
+
 def test_recommendations(spark):
     rows = owner.recommendations(owner.owner_grid(owner_fact(spark), CFG), CFG).collect()
     found = {(r["rule"], r["subject"]) for r in rows}
