@@ -416,3 +416,67 @@ def test_pipeline(spark, docs, rows):
     assert {i for i, _ in cut} >= {i for (i, _), w in zip(near, want) if not w[1]}
     assert sum(len(t) for _, t in cut) < sum(len(t) for _, t in near)
     assert len({i for i, _ in step("pack")}) == len({i for i, _ in cut})
+
+
+def brute_language(learned, texts):
+    """Language and score of each text by the whole counts of words and n-grams of `(lang, text)` rows."""
+    tables = [{} for _ in range(5)]
+    for lang, text in learned:
+        for word in language.words_of(text.encode()):
+            for k in range(5):
+                for token in language.grams_of(word.decode("utf-8", "replace"), k) if k else [word]:
+                    own = tables[k].setdefault(token, {})
+                    own[lang] = own.get(lang, 0) + 1
+    langs = sorted({lang for lang, text in learned if language.words_of(text.encode())})
+    totals = [[sum(x.get(lang, 0) for x in table.values()) for lang in langs] for table in tables]
+
+    def logs(k, token):
+        return np.array([math.log((tables[k][token].get(lang, 0) + 0.1) / (totals[k][i] + 0.1 * (len(tables[k]) + 1)))
+                         for i, lang in enumerate(langs)])
+
+    def word_score(word):
+        if word in tables[0]:
+            return logs(0, word)
+        for k in range(4, 0, -1):
+            if hits := [logs(k, g) for g in language.grams_of(word.decode("utf-8", "replace"), k) if g in tables[k]]:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in texts:
+        words = language.words_of(text.encode())
+        if not langs or not language.has_letter(words):
+            out.append(("und", 0.0))
+            continue
+        score = sum(map(word_score, words))
+        out.append((langs[int(score.argmax())], float(1 / np.exp(np.maximum(score - score.max(), -700)).sum())))
+    return out
+
+
+@pytest.mark.parametrize("cells", [0, 60, 800_000])
+def test_language_against_brute_force(spark, docs, rows, monkeypatch, cells):
+    """The same result whatever part of the words the tasks hold."""
+    monkeypatch.setattr(language, "HELD_CELLS", cells, raising=False)
+    model = language.fit(docs, F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False)))
+    got = by_id(language.identify(docs, model), rows)
+    learned = [(r[2], r[1] or "") for r in rows if r[2] and r[0] is not None and r[0] % 4 != 1]
+    want = brute_language(learned, single(rows).values())
+    assert len(got) == len(want)
+    for i, (lang, score) in zip(single(rows), want):
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, rel=1e-6, abs=1e-9)
+
+
+def test_language_keeps_rare_words(spark):
+    """Words beyond the 30,000 most frequent ones of a language count, in each language that has them."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(70_000)]
+    names = list(dict.fromkeys(names))[:62_000]
+    often, rare = names[:31_000], names[31_000:]
+    learned = [("de", " ".join(often + often + rare)), ("en", " ".join(names[:2000] * 30 + rare[:500] * 2))]
+    asked = [" ".join(rare[k:k + 40]) for k in (0, 300, 480, 20_000)] + [" ".join(names[5:9]), rare[3], rare[900], "zzzabcq " + rare[7]]
+    frame = spark.createDataFrame(
+        [(i, lang, text) for i, (lang, text) in enumerate(learned)] + [(10 + i, None, t) for i, t in enumerate(asked)],
+        "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in language.identify(frame, language.fit(frame, F.lit(True))).collect()}
+    for i, (lang, score) in enumerate(brute_language(learned, asked)):
+        assert got[10 + i]["lang_pred"] == lang and got[10 + i]["score"] == pytest.approx(score, rel=1e-6)
