@@ -480,3 +480,16 @@ def test_language_keeps_rare_words(spark):
     got = {r["doc_id"]: r for r in language.identify(frame, language.fit(frame, F.lit(True))).collect()}
     for i, (lang, score) in enumerate(brute_language(learned, asked)):
         assert got[10 + i]["lang_pred"] == lang and got[10 + i]["score"] == pytest.approx(score, rel=1e-6)
+
+
+def test_wrapped_licences(spark):
+    """Notices count however their lines are wrapped, not across a blank line or a sentence end."""
+    bsd = ("Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that")
+    gpl = ("you can redistribute it and/or modify", "it under the terms of the GNU General Public License")
+    bodies = [
+        "\n".join(bsd), "\n".join(gpl), "\r\n".join(bsd), " * " + "\n * ".join(bsd), "\n".join(" ".join(bsd).split()),
+        "\n\n".join(bsd), ".\n".join(bsd), "\n \t\r\n".join(bsd), " ".join(bsd)]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
+    assert [got[i]["labels"] for i in range(9)] == ["bsd", "gpl,gpl-notice", "bsd", "bsd", "bsd", "", "", "", "bsd"]
+    assert [got[i]["score"] for i in (0, 1, 5)] == [1.0, 1.0, 0.0]

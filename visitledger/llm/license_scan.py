@@ -1,6 +1,7 @@
 """Licence notices by an exact set-similarity join, in DataFrame functions alone.
 
-Text blocks (lines, cut further at sentence ends) are sets of words. The words of all templates are ordered by the number
+Text blocks (paragraphs between blank lines, cut further at sentence ends) are sets of words, so a notice wrapped over lines
+is one block. The words of all templates are ordered by the number
 of documents that hold them, rarest first. A block that contains at least `threshold` of a template's words must hold one
 of the template's rarest words (prefix), enough template words at all (length), and enough of them at and behind the first
 shared one (position); what passes is counted exactly. Only template words are ever exploded, and only in blocks that hold a
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"\n|[.!?][ \t\r]"
+BLOCK_END = r"\n[ \t\r]*\n|[.!?][ \t\r\n]"
 
 # Phrases and their labels.
 PHRASES = (
