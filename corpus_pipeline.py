@@ -3,7 +3,7 @@
 Each stage takes all its predecessor kept and returns the columns of `documents`, the last one the packed pieces. Between
 stages the documents are a table in the shared folder, so a lost executor repeats tasks of one stage only.
 
-* language: documents without a letter have no language and go;
+* language: documents without a letter have no language and go, whatever could be learned;
 * exact: of equal texts (white space aside) the smallest id stays;
 * near: of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more the smallest id stays;
 * repeats: strings of 400 bytes that occur more than once are cut out of the texts; a character that a cut splits goes whole,
@@ -31,8 +31,8 @@ def _only(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, id_fold(4) != 2)
-    told = language.identify(docs, model, carry={c: F.col(c) for c in docs.columns if c != "doc_id"})
-    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    told = language.told(docs, model, carry={c: F.col(c) for c in docs.columns if c != "doc_id"})
+    return told.where("lettered").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -493,3 +493,11 @@ def test_wrapped_licences(spark):
     got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
     assert [got[i]["labels"] for i in range(9)] == ["bsd", "gpl,gpl-notice", "bsd", "bsd", "bsd", "", "", "", "bsd"]
     assert [got[i]["score"] for i in (0, 1, 5)] == [1.0, 1.0, 0.0]
+
+
+def test_pipeline_without_labels(spark, docs, rows):
+    """Documents with letters pass the language stage when nothing can be learned, and whatever their language is called."""
+    stage, worded = dict(corpus_pipeline.STAGES)["language"], sorted(str(r[0]) for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    for label in (F.lit(None).cast("string"), F.lit("und")):
+        told = stage(spark, docs.select("doc_id", "text", label.alias("lang"), "source", "n_chars"), "")
+        assert sorted(str(r["doc_id"]) for r in told.collect()) == worded
