@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitledger.llm import chunk_bpe, context_tree, exact_dedup, language, license_scan, ngram_join, packing, sharding, suffix_dedup, vector_dedup
+from visitledger.llm import (
+    alignment, chunk_bpe, context_tree, dual_tree, exact_dedup, language, license_scan, ngram_join, packing, repair, sharding,
+    suffix_dedup, vector_dedup)
 from visitledger.llm.common import read_table
 
 
@@ -61,8 +63,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs, ~held_out), carry={"held_out": held_out})
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), written=False).drop("groups")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.written_and_read(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_shard_bytes, op2_pivot_vectors, op3_context_tree, op4_ngram_join, op5_pack, op6_license_scan, op7_suffix_dedup, op8_chunk_bpe, op9_exact_dedup, op10_language_id)}
+    op1_shard_bytes, op2_pivot_vectors, op3_context_tree, op4_ngram_join, op5_pack, op6_license_scan, op7_suffix_dedup, op8_chunk_bpe, op9_exact_dedup, op10_language_id,
+    op11_align, op12_repair, op13_dual_tree)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
@@ -87,4 +103,30 @@ ORACLES = {
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
     """,
+    "op13_dual_tree": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        q AS (
+            SELECT item_id, term, count(*) AS reps FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY item_id, term),
+        g AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM t WHERE len(ws) > 0),
+        p AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM t)
+            WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM p, g GROUP BY term, docs),
+        x AS (
+            SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)) AS impact FROM p, g),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(reps * w * impact) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN x USING (term) GROUP BY item_id, doc_id)
+        SELECT * FROM (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank,
+                   doc_id, score FROM s WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
