@@ -272,7 +272,7 @@ def test_bounds_prune_and_lose_nothing():
         want = sorted((i, int(x), int(scores[i, x])) for i in range(n_items)
                       for x in sorted(range(n_docs), key=lambda x: (-scores[i, x], x))[:k] if scores[i, x] > 0)
         assert sorted(zip(*state.found().to_pydict().values())) == want
-        assert state.scored < (scores > 0).sum() / 2 and state.visited < n_docs * n_items / 2
+        assert state.scored < n_docs * n_items / 8 and state.bounds < n_docs * n_items / 2
 
 
 def test_long_rows_do_not_overflow():

@@ -81,24 +81,19 @@ def _scanner(vocabulary: dict[bytes, int]):
 
 
 def _chunk(part, chunk, docs, words, df, doc_id, *arrays) -> pa.RecordBatch:
-    values = [part, chunk, docs, words, df, doc_id, *(a.astype("<i8").tobytes() for a in arrays)]
+    values = [part, chunk, docs, words, df, doc_id, *(a.astype("<u4").tobytes() for a in arrays)]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CHUNKS)], schema=CHUNKS)
 
 
 @dataclass
 class Items:
-    """Items in the order of their hierarchy; node i covers items low[i] to high[i], with its children after it."""
+    """Items in the order of their hierarchy. Level 0 is the root, the last has a node for each item; `maxima` holds terms x
+    nodes for each level, `begins` the first item of each node, `parents` each node's place one level up."""
 
     order: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    children: list[list[int]]
-    maxima: np.ndarray  # terms x nodes
-
-    @property
-    def own(self) -> np.ndarray:
-        """The leaf of each item."""
-        return np.flatnonzero(self.high - self.low == 1)
+    begins: list[np.ndarray]
+    parents: list[np.ndarray]
+    maxima: list[np.ndarray]
 
 
 def _similar_order(rows: np.ndarray, members: np.ndarray) -> list[int]:
@@ -118,22 +113,13 @@ def item_tree(weights: np.ndarray) -> Items:
     """The hierarchy over items, given as rows of term weights."""
     norm = np.sqrt((weights.astype(float) ** 2).sum(1))
     order = np.array(_similar_order(weights / np.where(norm, norm, 1)[:, None], np.arange(len(weights))))
-    low, high, children = [], [], []
-
-    def grow(a: int, b: int) -> int:
-        node = len(low)
-        low.append(a)
-        high.append(b)
-        children.append([])
-        if b - a > 1:
-            cuts = np.linspace(a, b, min(FAN, b - a) + 1).astype(int)
-            children[node] = [grow(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return node
-
-    grow(0, len(order))
-    ordered = weights[order]
-    return Items(order, np.array(low), np.array(high), children,
-                 np.ascontiguousarray(np.stack([ordered[a:b].max(0) for a, b in zip(low, high)], 1)))
+    begins, parents, maxima = [np.arange(len(order))], [], [weights[order]]
+    while len(begins[0]) > 1:
+        firsts = np.arange(0, len(begins[0]), FAN)
+        parents.insert(0, np.arange(len(begins[0])) // FAN)
+        maxima.insert(0, np.maximum.reduceat(maxima[0], firsts))
+        begins.insert(0, begins[0][firsts])
+    return Items(order, begins, [np.zeros(1, np.int64), *parents], [np.ascontiguousarray(m.T) for m in maxima])
 
 
 def document_levels(row: np.ndarray, term: np.ndarray, impact: np.ndarray, n_terms: int) -> list[tuple[np.ndarray, ...]]:
@@ -160,70 +146,66 @@ class Search:
         self.items, self.k = items, k
         self.best: list[list] = [[] for _ in items.order]
         self.weakest = np.maximum(least[items.order], 1)
-        self.visited = self.scored = 0
+        self.bounds = self.scored = 0
 
     def chunk(self, docs: list, row: np.ndarray, term: np.ndarray, impact: np.ndarray, n_terms: int) -> None:
         """Search a chunk; its rows are put next to rows with the same heaviest term first."""
         if not len(row):
             return
-        heavy = np.lexsort((-impact * self.items.maxima[term, 0], row))
+        heavy = np.lexsort((-impact * self.items.maxima[0][term, 0], row))
         present, at = np.unique(row[heavy], return_index=True)
         lead = np.argsort(term[heavy][at], kind="stable")
         place = np.empty(len(docs), np.int64)
         place[present[lead]] = np.arange(len(present))
         docs = [docs[i] for i in present[lead].tolist()]
-        levels = document_levels(place[row], term, impact.astype(self.items.maxima.dtype), n_terms)
+        levels = document_levels(place[row], term, impact.astype(self.items.maxima[0].dtype), n_terms)
         self._visit(levels, len(levels) - 1, 0, np.ones(len(self.weakest), bool), docs)
 
     def _visit(self, levels: list, level: int, node: int, open_items: np.ndarray, docs: list) -> None:
         begin, term, most = levels[level]
-        if node >= len(begin) - 1:
-            return
         some = slice(begin[node], begin[node + 1])
-        left, bounds = self._survivors(term[some], most[some], open_items)
-        if not len(left):
+        still = self._survivors(term[some], most[some], open_items)
+        if not still.any():
             return
-        if level == 0:
-            self._offer(docs[node], left, bounds)
+        wide = FAN if level > 1 else LEAF
+        last = min((node + 1) * wide, len(levels[level - 1][0]) - 1) if level else 0
+        if level <= 1:
+            self._score(levels[0], node * wide if level else 0, last or 1, np.flatnonzero(still), docs)
             return
-        still = np.zeros(len(open_items), bool)
-        still[left] = True
-        wide = LEAF if level == 1 else FAN
-        for child in range(node * wide, (node + 1) * wide):
+        for child in range(node * wide, last):
             self._visit(levels, level - 1, child, still, docs)
 
-    def _survivors(self, term: np.ndarray, most: np.ndarray, open_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Open items whose bound reaches their weakest score, found from the items' root down, with their bounds."""
-        items = self.items
-        weakest = np.where(open_items, self.weakest, np.iinfo(np.int64).max)
-        rows, frontier, leaves, bounds = items.maxima[term], [0], [], []
-        while frontier:
-            at = np.array(frontier)
-            self.visited += len(at)
-            bound = most @ rows[:, at]
-            weak = np.minimum.reduceat(np.append(weakest, np.iinfo(np.int64).max), np.stack(
-                [items.low[at], items.high[at]], 1).ravel())[::2]
-            frontier = []
-            for i in np.flatnonzero(bound >= weak).tolist():
-                if items.children[at[i]]:
-                    frontier += items.children[at[i]]
-                else:
-                    leaves.append(items.low[at[i]])
-                    bounds.append(bound[i])
-        return np.array(leaves, np.int64), np.array(bounds)
-
-    def _offer(self, doc, places: np.ndarray, scores: np.ndarray) -> None:
-        """A single row's bounds are its scores."""
-        self.scored += len(places)
-        key = math.inf if doc is None else -doc
-        for place, score in zip(places.tolist(), scores.tolist()):
-            heap = self.best[place]
-            if len(heap) < self.k:
-                heapq.heappush(heap, (int(score), key))
-            elif heap[0] < (int(score), key):
-                heapq.heapreplace(heap, (int(score), key))
-            if len(heap) == self.k:
-                self.weakest[place] = max(self.weakest[place], heap[0][0])
+    def _survivors(self, term: np.ndarray, most: np.ndarray, open_items: np.ndarray) -> np.ndarray:
+        """Open items whose bound, and that of each node above them, reaches the weakest score below it."""
+        weakest, alive = np.where(open_items, self.weakest, np.iinfo(np.int64).max), np.ones(1, bool)
+        for begins, parents, maxima in zip(self.items.begins, self.items.parents, self.items.maxima):
+            alive = alive[parents]
+            self.bounds += int(alive.sum())
+            alive &= most @ maxima[term] >= np.minimum.reduceat(weakest, begins)
+            if not alive.any():
+                return np.zeros(len(weakest), bool)
+        return alive
+
+    def _score(self, rows: tuple, first: int, last: int, places: np.ndarray, docs: list) -> None:
+        """Scores of a leaf's rows for the items that no bound has ruled out."""
+        begin, term, impact = rows
+        some = slice(begin[first], begin[last])
+        own = self.items.maxima[-1]
+        part = own[term[some]] if 2 * len(places) > own.shape[1] else own[np.ix_(term[some], places)]
+        scores = np.add.reduceat(impact[some, None] * part, begin[first:last] - begin[first])
+        scores = scores[:, places] if part.shape[1] != len(places) else scores
+        self.scored += scores.size
+        for row, at in np.argwhere(scores >= self.weakest[places]).tolist():
+            self._offer(docs[first + row], int(places[at]), int(scores[row, at]))
+
+    def _offer(self, doc, place: int, score: int) -> None:
+        heap, entry = self.best[place], (score, math.inf if doc is None else -doc)
+        if len(heap) < self.k:
+            heapq.heappush(heap, entry)
+        elif heap[0] < entry:
+            heapq.heapreplace(heap, entry)
+        if len(heap) == self.k:
+            self.weakest[place] = max(self.weakest[place], heap[0][0])
 
     def found(self) -> pa.RecordBatch:
         rows = [(int(i), None if key == math.inf else -key, score)
@@ -252,7 +234,7 @@ def _searcher(items: list[dict[int, int]], n_terms: int, documents: int, words:
         state = Search(item_tree(rows), k, np.array(least, np.int64))
         for batch in batches:
             for at in range(batch.num_rows):
-                n, row, term, tf = (np.frombuffer(batch.column(c)[at].as_py(), "<i8") for c in ("n", "row", "term", "tf"))
+                n, row, term, tf = (np.frombuffer(batch.column(c)[at].as_py(), "<u4").astype(np.int64) for c in ("n", "row", "term", "tf"))
                 m = lengths_factor(n, documents, words)[row]
                 state.chunk(batch.column("doc_id")[at].as_py(), row, term, 10 ** 9 * tf // (1000 * tf + 12 * m), n_terms)
         yield state.found()
