@@ -34,6 +34,8 @@ def test_fast_ids_are_the_libraries():
     texts = ["", "a<|endoftext|> b", "x  \n\t y'll 12345 ", "<|endoftext|>", "é" * 50, "word" * 2000]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 128), rng.randrange(0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(60))
               for _ in range(200)]
+    texts += ["".join(rng.choice(["a", "B", " ", "\n", "\t", "\u00a0", "\u3000", "1", "'s", ".", "\x1c"]) for _ in range(rng.randint(1, 12)))
+              for _ in range(2000)]
     for t in texts:
         assert coder.ids(t).tolist() == own.encode(t, add_special_tokens=False).ids
     own.encode_special_tokens = True

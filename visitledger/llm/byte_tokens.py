@@ -15,6 +15,11 @@ import numpy as np
 
 #: Fixed value: the split pattern of byte-level BPE files of this kind.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same without its look-ahead, which only matters where white space follows white space; it runs in a faster engine.
+EVEN_SPLIT = SPLIT.replace(r"|\s+(?!\S)", "")
+#: A text without any of these has single spaces and line ends only: other white space, or two of those in a row.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *map(chr, (
+    9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPACE_MARK = "▁"
 
 
@@ -53,7 +58,8 @@ class ByteCoder:
             self.token_bytes[i] = raw
         for t in parts["added_tokens"]:
             self.token_bytes[t["id"]] = t["content"].encode()
-        self._fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self._any, self._even = (
+            tiktoken.Encoding("byte-level", pat_str=split, mergeable_ranks=ranks, special_tokens={}) for split in (SPLIT, EVEN_SPLIT))
 
     @functools.cached_property
     def _library(self):
@@ -66,7 +72,8 @@ class ByteCoder:
 
     def plain(self, text: str) -> np.ndarray:
         """Ids with the strings of special tokens taken as ordinary text."""
-        return self._fast.encode_to_numpy(text, disallowed_special=())
+        coder = self._any if any(u in text for u in UNEVEN) else self._even
+        return coder.encode_to_numpy(text, disallowed_special=())
 
     def ids(self, text: str) -> np.ndarray:
         """Ids as the library gives them, special tokens recognised and none added."""
