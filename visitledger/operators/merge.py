@@ -42,36 +42,36 @@ def rows_to_append(existing: DataFrame, new: DataFrame, key: str, missing_is_nul
         "_match": F.when(keyed, name).otherwise(F.lit("")),
         "_row": F.when(keyed, F.lit("")).otherwise(_row_hash(fresh, shared)),
     })
-    asked = tagged.select("_match", "_row").distinct()
+    asked = new.select(
+        F.when(keyed, name).otherwise(F.lit("")).alias("_match"),
+        F.when(keyed, F.lit("")).otherwise(_row_hash(new, shared)).alias("_row")).distinct()
     met = held.join(asked, ["_match", "_row"], "left_semi")
     return tagged.join(met, ["_match", "_row"], "left_anti").select(*new.columns)
 
 
-def rows_to_append_by_columns(existing: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """New rows whose combination of typed columns the table does not hold; used when one side has no key.
-
-    Rows that agree on the columns but differ elsewhere are all new, as long as the table holds none; those
-    that do carry a key still end up unique by it.
-    """
-    parts = {f"_part{i}": F.coalesce(F.col(name).cast("string"), F.lit("")) for i, name in enumerate(columns)}
-    held = existing.select(*[expr.alias(name) for name, expr in parts.items()]).distinct()
-    fresh = new.dropDuplicates().withColumns(parts).join(held, list(parts), "left_anti").select(*new.columns)
-    return keep_first(fresh, [key])
-
-
-def has_keys(df: DataFrame, key: str) -> bool:
-    """Whether any row carries a key (reads until the first one)."""
-    return key in df.columns and not df.select(key).filter(present(F.col(key))).limit(1).isEmpty()
-
-
 def additions(
     existing: DataFrame, new: DataFrame, key: str, fallback: Sequence[str] = (), missing_is_null: bool = False
 ) -> DataFrame:
-    """Key match when both sides carry keys (or the table is still empty), else the fallback columns."""
-    by_key = not fallback or (has_keys(new, key) and (has_keys(existing, key) or existing.limit(1).isEmpty()))
-    if by_key:
+    """New rows that the table does not hold, each judged on its own.
+
+    A row with a key is held if the table has the key, or a keyless row with the same `fallback` columns (an upload without
+    line ids). A row without a key is held if any row of the table has its fallback columns; without such columns, if the table
+    has an equal row. Each row of either side stands for what it can be found by; those of the table are first reduced to what
+    the batch asks for. The result has one row per key, keyless rows once.
+    """
+    if not fallback:
         return rows_to_append(existing, new, key, missing_is_null)
-    return rows_to_append_by_columns(existing, new, key, fallback)
+    columns = F.concat_ws("\x1f", *[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in fallback])
+    keyed, name = present(F.col(key)), F.concat(F.lit("key "), F.trim(F.col(key).cast("string")))
+    keyless_row, any_row = F.concat(F.lit("bare "), columns), F.concat(F.lit("row "), columns)
+    by_key, by_columns = F.when(keyed, name), F.when(keyed, keyless_row).otherwise(any_row)
+    asked = new.select(F.explode(F.array_compact(F.array(by_key, by_columns))).alias("_probe")).distinct()
+    held = existing.select(F.explode(F.array(F.when(keyed, name).otherwise(keyless_row), any_row)).alias("_probe"))
+    met = held.join(asked, "_probe", "left_semi").distinct()
+    fresh = keep_first(new, [key]).withColumns({"_key": by_key, "_columns": by_columns})
+    for probe in ("_key", "_columns"):
+        fresh = fresh.join(met.withColumnRenamed("_probe", probe), probe, "left_anti")
+    return fresh.select(*new.columns)
 
 
 def not_confirmed(drafts: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:

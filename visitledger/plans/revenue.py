@@ -53,14 +53,10 @@ def revenue_per_rvu(fact: DataFrame, cfg: PracticeConfig) -> DataFrame:
 # -- weekly revenue -----------------------------------------------------------------------------------------
 
 
-def weekly_revenue(
-    charges: DataFrame, exams: DataFrame, cfg: PracticeConfig, supplemental: DataFrame | None = None
-) -> DataFrame:
-    """Exam and charge revenue per week, cost, profit and 8-week means.
+def week_sums(charges: DataFrame, exams: DataFrame, supplemental: DataFrame | None = None) -> DataFrame:
+    """`(week, va_revenue, pc_charges, pc_revenue)`. `supplemental` holds extra exam payments `(pay_date, amount)`.
 
-    The newest weeks are not collected yet, so their charge revenue is estimated from the charges.
-    `supplemental` holds extra exam payments `(pay_date, amount)`. The sources are stacked and summed once
-    instead of outer-joined, so a week may occur in any of them.
+    The sources are stacked and summed once instead of outer-joined, so a week may occur in any of them.
     """
     nothing = F.lit(0).cast(money.MONEY)
     parts = [
@@ -75,9 +71,15 @@ def weekly_revenue(
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    weekly = stacked.filter("week is not null").groupBy("week").agg(
+    return stacked.filter("week is not null").groupBy("week").agg(
         *[F.sum(name).alias(name) for name in ("va_revenue", "pc_charges", "pc_revenue")])
 
+
+def weekly_report(weekly: DataFrame, cfg: PracticeConfig) -> DataFrame:
+    """Totals, cost, profit and 8-week means of `week_sums`.
+
+    The newest weeks are not collected yet, so their charge revenue is estimated from the charges.
+    """
     lag = cfg.collection_lag_weeks
     rate = F.lit(cfg.collection_rate).cast("decimal(3,2)")
     uncollected = (series.recency("week") <= lag) & (F.count(F.lit(1)).over(Window.partitionBy()) >= lag)
@@ -93,6 +95,13 @@ def weekly_revenue(
     })
 
 
+def weekly_revenue(
+    charges: DataFrame, exams: DataFrame, cfg: PracticeConfig, supplemental: DataFrame | None = None
+) -> DataFrame:
+    """Exam and charge revenue per week, cost, profit and 8-week means."""
+    return weekly_report(week_sums(charges, exams, supplemental), cfg)
+
+
 def weekly_revenue_summary(weekly: DataFrame) -> DataFrame:
     weeks = F.count(F.lit(1))
     return weekly.agg(

@@ -5,9 +5,7 @@ Every reader returns the raw layer (strings under the export headers); typing ha
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitledger.functions import dates, rules
+from visitledger.sources import csv_blocks
 from visitledger.sources import schemas as S
 
 
@@ -29,39 +28,21 @@ def unique_headers(header: list[str]) -> dict[str, int]:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header line as strings, repeated headers reduced to the first.
 
-    Quoted fields may hold doubled quotes and line breaks, so a file is one task: large exports should land as several files.
-    Files of a folder are grouped by their header line and brought together by name, in the column order of the first file; a
-    column that a file lacks is null. Columns are taken by position, so Spark never renames a header.
+    Quoted fields may hold doubled quotes and line breaks, and a large file is still many tasks (`csv_blocks`). Files of a
+    folder are grouped by their header and brought together by name, in the column order of the first file; a column that a
+    file lacks is null. Columns are taken by position, so Spark never renames a header.
     """
-    groups = _files_by_header(spark, path)
-    if not groups:
+    known = csv_blocks.layout(spark, path)
+    if not known.headers:
         return spark.createDataFrame([], T.StructType([]))
     frames = []
-    for line, files in groups:
-        header = next(csv.reader([line]))
-        rows = _quoted(spark, len(header)).csv(path if len(groups) == 1 else files)
-        frames.append(rows.select(*[F.col(f"_c{i}").alias(name) for name, i in unique_headers(header).items()]))
+    for header, files in known.headers.items():
+        names = csv_blocks.header_names(header)
+        rows = csv_blocks.read_positions(spark, path if len(known.headers) == 1 else files, len(names), known)
+        frames.append(rows.select(*[F.col(f"_c{i}").alias(name) for name, i in unique_headers(names).items()]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _files_by_header(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Distinct header lines with their files, by first file. The header is a file's first line: the smallest row number of
-    its first block, folded before the shuffle, so that one row for each file leaves the scan."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    grouped = heads.groupBy(F.ltrim(F.col("header"), F.lit("﻿")).alias("header")).agg(
-        F.array_sort(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0])
-    return [(row["header"], [unquote(file) for file in row["files"]]) for row in grouped.collect()]
-
-
-def _quoted(spark: SparkSession, width: int):
-    """Reader of comma-separated text with a header line; a doubled quote inside quotes is one quote."""
-    positional = S.all_strings([f"_c{i}" for i in range(width)])
-    return spark.read.schema(positional).options(header=True, enforceSchema=True, quote='"', escape='"', multiLine=True)
-
-
 def read_named(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
     """A stored CSV by name; a table that does not exist yet is an empty frame with the expected columns."""
     try:
@@ -104,7 +85,7 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """An exported sheet, one header line, columns by position."""
     width = max(S.EXAM_POSITIONS.values()) + 1
-    return sheet_rows(_quoted(spark, width).csv(path))
+    return sheet_rows(csv_blocks.read_positions(spark, path, width, csv_blocks.layout(spark, path)))
 
 
 def charge_rows(records: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def all_strings(names) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
+def _typed(names, money=()) -> T.StructType:
+    kinds = {"service_date": T.DateType()} | {name: T.DecimalType(18, 2) for name in money}
+    return T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in names])
+
+
+TYPED_CHARGES = _typed(CHARGE_HEADERS.values(), CHARGE_MONEY)
+STORED_EXAMS = T.StructType([
+    *_typed([*EXAM_HEADERS.values(), "patient_id"]).fields, T.StructField("exam_revenue", T.DecimalType(18, 2)),
+    T.StructField("is_no_show", T.BooleanType()), T.StructField("week", T.DateType())])
 RAW_CHARGES = all_strings(CHARGE_HEADERS)
 RAW_EXAMS = all_strings(EXAM_HEADERS)
 RAW_BANK = all_strings(BANK_HEADERS)

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from visitledger.functions import dates
 from visitledger.operators.dedup import present
-from visitledger.operators.merge import additions
+from visitledger.session import shared_dir
 from visitledger.sources import tables
+from visitledger.sources.keyed import append_new
 
 HORIZON = "120 days"
 
@@ -43,19 +44,18 @@ def unique_lines(lines: DataFrame, key: str, event_time: str, horizon: str = HOR
 
 
 def merge_into(lines: DataFrame, table: str, checkpoint: str, key: str, fallback=(), day: str = "service_date"):
-    """Append what the table does not hold yet, batch by batch, until the input is read up.
+    """Append what the table does not hold yet, batch by batch, until the input is read up. Only the months that may hold
+    rows of a batch are opened.
 
     A batch that is replayed after a failure adds nothing twice, since the table decides what is new. Blank keys are stored
     as null, so the keyless part of the table is found by a pushed-down filter.
     """
     def merge(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        named = batch.withColumn(key, F.when(present(F.col(key)), F.col(key))).persist()
-        try:
-            existing = tables.read_table(spark, table, named.schema)
-            tables.append_months(additions(existing, named, key, fallback, missing_is_null=True), table, day)
-        finally:
-            named.unpersist()
+        named = batch.withColumn(key, F.when(present(F.col(key)), F.col(key)))
+        staged_at = shared_dir(spark, "stream-stage")
+        tables.write_snapshot(named, staged_at)
+        append_new(spark, table, spark.read.schema(named.schema).parquet(staged_at), key, fallback, day)
 
     return (
         lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
