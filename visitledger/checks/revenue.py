@@ -11,6 +11,8 @@ from visitledger.checks.oracle import build, friday
 from visitledger.checks.registry import check
 from visitledger.operators import series, topk
 from visitledger.plans import exams, forecast, revenue
+from visitledger.plans.weekly_store import WeeklyStore
+from visitledger.session import shared_dir
 from visitledger.sources import shared_tables as V
 
 CFG = V.CONFIG
@@ -121,27 +123,43 @@ def revenue_per_exam(spark, sf):
     return revenue.revenue_per_exam(_weekly(spark, sf), exams.appointments_of(V.exams(spark, sf), CFG), CFG.exam_start)
 
 
+#: The history starts with the oldest charges, so that it has months with and without exams.
+_WHOLE = replace(CFG, exam_start=date(1995, 1, 1))
+
+
 def _history_charges(spark, sf):
-    """Charges moved to the exam year, half of them under the name of the first exam group."""
-    moved = F.date_add(F.lit(date(2024, 1, 1)), F.dayofmonth("service_date") - 1)
+    """Charges, those of one procedure under the name of the first exam group."""
     name = F.when(F.col("procedure_code") == "99213", F.lit("Click")).otherwise(F.col("provider_raw"))
-    return V.charges(spark, sf).withColumns({"service_date": moved, "provider_raw": name})
+    return V.charges(spark, sf).withColumn("provider_raw", name)
+
 
+_ALL_EXAMS = f"""
+    SELECT revenue / exams AS revenue_per_exam
+    FROM (SELECT count(*) AS exams FROM visits_unique),
+         (SELECT CAST(sum(va_revenue) AS DOUBLE) AS revenue FROM ({_WEEKLY}) WHERE week >= DATE '1995-01-01')"""
 
 _MONTHS = f"""
     SELECT month, weeks, coalesce(c.exams_a, 0) AS exams_a, coalesce(c.exams_b, 0) AS exams_b,
            (coalesce(c.exams_a, 0) + coalesce(c.exams_b, 0)) / CAST(coalesce(c.exams_all, 1) AS DOUBLE) AS group_share,
-           (least(coalesce(c.exams_a, 0), weeks * 300) + least(coalesce(c.exams_b, 0), weeks * 300)) * (SELECT revenue_per_exam FROM ({_PER_EXAM})) AS group_va_revenue,
+           (least(coalesce(c.exams_a, 0), weeks * 300) + least(coalesce(c.exams_b, 0), weeks * 300)) * (SELECT revenue_per_exam FROM ({_ALL_EXAMS})) AS group_va_revenue,
            total_va_revenue, total_pc_revenue, coalesce(g.revenue, 0) AS group_pc_revenue
     FROM (SELECT CAST(date_trunc('month', week) AS DATE) AS month, sum(va_revenue) AS total_va_revenue, sum(pc_revenue) AS total_pc_revenue, count(*) AS weeks
-          FROM ({_WEEKLY}) WHERE week >= DATE '2024-01-01' GROUP BY 1 HAVING count(*) >= 3)
+          FROM ({_WEEKLY}) WHERE week >= DATE '1995-01-01' GROUP BY 1 HAVING count(*) >= 3)
     LEFT JOIN (SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, count(*) FILTER (provider_raw = 'click') AS exams_a,
                       count(*) FILTER (provider_raw = 'view') AS exams_b, count(*) AS exams_all FROM visits_unique GROUP BY 1) c USING (month)
-    LEFT JOIN (SELECT DATE '2024-01-01' AS month, sum(revenue) AS revenue FROM charges WHERE procedure_code = '99213') g USING (month)"""
+    LEFT JOIN (SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, sum(revenue) AS revenue FROM charges
+               WHERE procedure_code = '99213' GROUP BY 1) g USING (month)"""
+
+
+def _stored_weekly(spark, sf):
+    """The weekly report over its stored table, computed once for all its readers."""
+    store = WeeklyStore(shared_dir(spark, "weekly"), "", "", CFG)
+    store.replace(revenue.week_sums(V.charges(spark, sf, False), V.exams(spark, sf), V.supplemental(spark, sf)))
+    return store.read(spark)
 
 
 def _history(spark, sf):
-    return revenue.group_revenue_history(_weekly(spark, sf), V.exams(spark, sf), _history_charges(spark, sf), CFG, "a")
+    return revenue.group_revenue_history(_stored_weekly(spark, sf), V.exams(spark, sf), _history_charges(spark, sf), _WHOLE, "a")
 
 
 @check("group_revenue_history", "R23 A24 J8 P31 F7", build(
@@ -180,27 +198,26 @@ def panel_value(spark, sf):
     SELECT min(month) AS crossover FROM (
         SELECT month, sum(a) OVER (ORDER BY month) AS a, sum(b) OVER (ORDER BY month) AS b
         FROM (SELECT CAST(date_trunc('month', service_date) AS DATE) AS month, sum(charge_amount) FILTER (procedure_code = '99213') AS a,
-                     sum(charge_amount) FILTER (procedure_code IN ('99203', '99395', 'G0438') AND service_date >= DATE '1997-01-01') AS b
+                     sum(charge_amount) FILTER (procedure_code IN ('99203', '99395', 'G0438')) AS b
               FROM charges GROUP BY 1)) WHERE b >= a"""))
 def crossover_month(spark, sf):
     charges = V.charges(spark, sf, False)
     month = F.trunc("service_date", "MM").alias("month")
     a = charges.filter("procedure_code = '99213'").groupBy(month).agg(F.sum("charge_amount").alias("v"))
-    b = charges.filter("procedure_code in ('99203', '99395', 'G0438') and service_date >= '1997-01-01'").groupBy(month).agg(
+    b = charges.filter("procedure_code in ('99203', '99395', 'G0438')").groupBy(month).agg(
         F.sum("charge_amount").alias("v"))
     return revenue.crossover_month(a, b, "month", "v")
 
 
 @check("monday_week_calendar", "A22 G22 F1", build("""
     WITH t AS (SELECT CAST(service_date + ((1 - isodow(service_date) + 7) % 7)::INT AS DATE) AS week, sum(charge_amount) AS v
-               FROM charges WHERE procedure_code = 'NEXUS' AND charge_amount > 60000 GROUP BY 1)
+               FROM charges GROUP BY 1)
     SELECT CAST(w AS DATE) AS week, coalesce(v, 0) AS v
     FROM (SELECT unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS w FROM t) LEFT JOIN t ON t.week = w""", money=("v",)))
 def monday_week_calendar(spark, sf):
     from visitledger.functions import dates
 
-    rows = V.charges(spark, sf, False).filter("procedure_code = 'NEXUS' and charge_amount > 60000")
-    weekly = rows.groupBy(dates.week_end(F.col("service_date"), "MON").alias("week")).agg(F.sum("charge_amount").alias("v"))
+    weekly = V.charges(spark, sf, False).groupBy(dates.week_end(F.col("service_date"), "MON").alias("week")).agg(F.sum("charge_amount").alias("v"))
     return series.weekly_calendar(weekly, "week", "v")
 
 
