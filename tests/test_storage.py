@@ -196,13 +196,13 @@ def test_a_sync_recomputes_its_weeks_alone(spark, tmp_path):
         return sorted(map(tuple, weekly_revenue(charges, spark.read.parquet(store.exams), CFG).collect()))
 
     store.rebuild(spark)
-    pull((range(5), "1/5/2026"), (range(10, 13), "12/29/2025"))
+    pull((range(5), "1/5/2026"), (range(10, 13), "12/22/2025"), (range(30, 32), "1/30/2026"))
     assert sorted(map(tuple, store.read(spark).collect())) == full()
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "weekly").rglob("*.parquet")}
     pull((range(6), "1/5/2026"), (range(20, 22), "2/20/2026"))
     assert sorted(map(tuple, store.read(spark).collect())) == full()
     kept = {p for p, at in before.items() if p.exists() and p.stat().st_mtime_ns == at}
-    assert {p.parent.name for p in before} - {p.parent.name for p in kept} == {"week=2026-01-09"}
+    assert {p.parent.name for p in before} - {p.parent.name for p in kept} == {"week_month=2026-01-01"}
 
 
 def test_noted_weeks_survive_a_lost_run(spark, tmp_path):
@@ -214,5 +214,5 @@ def test_noted_weeks_survive_a_lost_run(spark, tmp_path):
     staged = str(tmp_path / "staged")
     typed.write.parquet(staged)
     keyed.append_new(spark, store.charges, spark.read.schema(typed.schema).parquet(staged), "epid", before=store.mark)
-    assert store.refresh(spark) == [date(2026, 1, 16)] and store.refresh(spark) == []
+    assert store.refresh(spark) == [date(2026, 1, 1)] and store.refresh(spark) == []
     assert {r["week"] for r in store.read(spark).collect()} == {date(2026, 1, 9), date(2026, 1, 16)}
