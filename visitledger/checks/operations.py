@@ -84,6 +84,28 @@ def charge_quality(spark, sf):
     return quality.charge_checks(V.lines(spark, sf), V.aliases(spark, sf), CFG)
 
 
+@check("landing_quality", "R26 2.12 P3", build("""
+    WITH m AS (SELECT count(*) FILTER (procedure_code = 'NEXUS') AS bad, count(*) FILTER (procedure_code <> 'NEXUS' AND CAST(charge_amount * 1.005 AS DECIMAL(20,5)) <> CAST(round(charge_amount * 1.005, 2) AS DECIMAL(20,5))) AS cents,
+        count(*) FILTER (l_returnflag = 'R') AS days, (SELECT count(*) FROM (SELECT alias_norm FROM alias GROUP BY 1 HAVING count(DISTINCT canonical) > 1)) AS names FROM lines)
+    """ + _checks("charges", [
+        ("missing columns", "1", "<=", 0), ("duplicate columns", "1", "<=", 0), ("artifact columns", "1", "<=", 0), ("conflicting provider columns", "0", "<=", 0),
+        ("Service Charge Amount unreadable", "bad", "<=", 0), ("Service Charge Amount below cents", "cents", "<=", 0), ("Pat Payment Amount unreadable", "0", "<=", 0),
+        ("Pat Payment Amount below cents", "0", "<=", 0), ("Date Of Service unreadable", "days", "<=", 0)])
+    + " UNION ALL " + _checks("aliases", [("conflicting names", "names", "<=", 0)])))
+def landing_quality(spark, sf):
+    """The lines as a raw export with a repeated, an artifact and a missing column, odd amounts and unreadable dates."""
+    charge = F.when(F.col("procedure_code") == "NEXUS", F.lit("n/a")).otherwise((F.col("charge_amount") * F.lit("1.005").cast("decimal(4,3)")).cast("string"))
+    raw = V.lines(spark, sf).select(
+        F.when(F.endswith("code_text", F.lit("R")), F.lit("soon")).otherwise(F.col("service_date").cast("string")).alias("Date Of Service"),
+        "provider_raw", charge.alias("Service Charge Amount"), F.lit(" ").alias("Pat Payment Amount"))
+    header = [*(h for h in quality.REQUIRED_CHARGES if h != "Patient ID"), "Unnamed: 9", "Procedure Code"]
+    parts = [
+        quality.header_checks("charges", raw, header, quality.REQUIRED_CHARGES),
+        quality.landing_checks("charges", raw, ("Service Charge Amount", "Pat Payment Amount"), "Date Of Service"),
+        quality.alias_checks(V.aliases(spark, sf))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @check("exam_quality", "R26 2.12", build("""
     WITH m AS (SELECT count(*) AS n, date_diff('day', min(service_date), max(service_date)) AS span, count(*) FILTER (opinions = '') / count(*) AS blank FROM exams)
     """ + _checks("exams", [

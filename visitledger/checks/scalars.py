@@ -62,7 +62,9 @@ def charge_csv_lines(spark, sf):
 
 @check("date_texts", "P5 P6", build("""
     SELECT epid, CASE WHEN l_returnflag IN ('A', 'N', 'R') THEN service_date END AS parsed,
-           month(service_date) || '/' || day(service_date) || '/' || year(service_date) AS exported, CAST(NULL AS DATE) AS unreadable
+           month(service_date) || '/' || day(service_date) || '/' || year(service_date) AS exported, CAST(NULL AS DATE) AS unreadable,
+           service_date AS named, service_date AS day_named, service_date AS day_dashed, service_date AS compact, service_date AS dotted,
+           CASE WHEN day(service_date) > 12 THEN service_date ELSE make_date(year(service_date), day(service_date), month(service_date)) END AS day_first
     FROM ranked"""))
 def date_texts(spark, sf):
     day = F.col("service_date")
@@ -71,9 +73,26 @@ def date_texts(spark, sf):
         .when(F.endswith("code_text", F.lit("N")), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"))
         .otherwise(F.date_format(day, "MM/dd/yyyy"))
     )
+    forms = {"named": "MMMM d, yyyy", "day_named": "d MMM yyyy", "day_dashed": "dd-MMMM-yyyy", "compact": "yyyyMMdd", "dotted": "M.d.yyyy",
+             "day_first": "d/M/yyyy"}
     return V.lines(spark, sf).select(
         "epid", dates.parse_date(text).alias("parsed"), dates.us_date_text(dates.parse_date(text)).alias("exported"),
-        dates.parse_date(F.concat(F.lit("on "), text)).alias("unreadable"))
+        dates.parse_date(F.concat(F.lit("on "), text)).alias("unreadable"),
+        *[dates.parse_date(F.date_format(day, form)).alias(name) for name, form in forms.items()])
+
+
+@check("elected_dates", "P5 S4", build("""
+    SELECT epid, l_returnflag AS file, CASE WHEN procedure_code <> 'NEXUS' THEN service_date END AS service_date,
+           procedure_code = 'NEXUS' AS refused FROM lines"""))
+def elected_dates(spark, sf):
+    """Three files, two of them with the day first; each file's own unambiguous dates decide how its others are read."""
+    day, file = F.col("service_date"), F.element_at(F.split("code_text", " "), -1)
+    text = F.when(F.col("procedure_code") == "NEXUS", F.lit("soon")).when(file == "A", F.date_format(day, "d/M/yyyy")).when(
+        file == "R", F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "M/d/yyyy"))
+    landed = V.lines(spark, sf).select("epid", file.alias("file"), text.alias("text"))
+    read = dates.with_elected_dates(landed, "text", ["file"], "service_date")
+    refused = (F.trim("text") != "") & F.col("service_date").isNull()
+    return read.select("epid", "file", "service_date", refused.alias("refused"))
 
 
 @check("calendar_keys", "P11 P20 P21 P22 P24", build(f"""

@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLINIC_ZONE = "America/New_York"
-MONTH_NAMED = (
-    r"(?i)^(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?"
-    r"|nov(?:ember)?|dec(?:ember)?)[.]? +([0-9]{1,2}),? +([0-9]{4})($|[ ])")
+MONTHS = (
+    r"jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?")
+MONTH_NAMED = rf"(?i)^({MONTHS})[.]? +([0-9]{{1,2}}),? +([0-9]{{4}})($|[ ])"
+DAY_NAMED = rf"(?i)^([0-9]{{1,2}})(?:[ ]+|-)({MONTHS})[.]?,?(?:[ ]+|-)([0-9]{{4}})($|[ ])"
+#: Day and month as numbers, in either order, and what stands between them and the year.
+NUMBERED = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})($|[ ])"
 
 
-def parse_date(text: Column) -> Column:
-    """US or ISO date text -> DATE, anything else -> NULL. A time of day after a blank is ignored.
+def _as_day(value: Column, form: str) -> Column:
+    return F.try_to_timestamp(value, F.lit(form)).cast("date")
 
-    Forms: `1/15/2023`, `2023-01-15`, `1/15/23`, `1-15-2023`, `2023/1/15`, `Jan 15, 2023` (or the whole month name). Two-digit
-    years from 69 on are of the last century.
-    """
-    text = F.trim(text.cast("string"))
 
-    def as_day(value: Column, form: str) -> Column:
-        return F.try_to_timestamp(value, F.lit(form)).cast("date")
+def _century(day: Column) -> Column:
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
+def _numbered(day: Column, mark: str, years: str, day_first: Column | None) -> Column:
+    """Numbers in the usual order (month first, or as `day_first` says), else in the other one."""
+    month_first, other = (_as_day(day, form) for form in (f"M{mark}d{mark}{years}", f"d{mark}M{mark}{years}"))
+    usual = F.coalesce(month_first, other)
+    return usual if day_first is None else F.when(day_first, F.coalesce(other, month_first)).otherwise(usual)
+
 
-    us_long = text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}($|[ ])")
-    us_short = text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}($|[ ])")
-    us_dashed = text.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}($|[ ])")
+def parse_date(text: Column, day_first: Column | None = None) -> Column:
+    """Date text -> DATE, anything else -> NULL. A time of day after a blank is ignored.
+
+    Forms: `1/15/2023`, `1-15-2023`, `1.15.2023`, with two-digit years `1/15/23`, `2023-01-15`, `2023/1/15`, `20230115`,
+    `Jan 15, 2023`, `15 Jan 2023`, `15-Jan-2023` (or the whole month name). Numbers are month and day; where only day and month
+    fits (`15/1/2023`) they are that, and where both fit `day_first` decides (see `day_first_by`). Two-digit years from 69 on
+    are of the last century.
+    """
+    text = F.trim(text.cast("string"))
     iso = text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}")
     year_first = text.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}($|[ ])")
-    named = text.rlike(MONTH_NAMED)
+    compact = text.rlike(r"^(19|20)[0-9]{6}($|[ ])")
     day = F.substring_index(text, " ", 1)
-    short = as_day(day, "M/d/yy")
-    month = F.initcap(F.substring(text, 1, 3))
+
+    def numbered(mark: str, escaped: str) -> Column:
+        start = rf"^[0-9]{{1,2}}{escaped}[0-9]{{1,2}}{escaped}"
+        return F.when(text.rlike(start + "[0-9]{4}($|[ ])"), _numbered(day, mark, "yyyy", day_first)).when(
+            text.rlike(start + "[0-9]{2}($|[ ])"), _century(_numbered(day, mark, "yy", day_first)))
+
+    def named(pattern: str, month: int, number: int) -> Column:
+        name = F.initcap(F.substring(F.regexp_extract(text, pattern, month), 1, 3))
+        return _as_day(F.concat_ws(
+            " ", name, F.regexp_extract(text, pattern, number), F.regexp_extract(text, pattern, 3)), "MMM d yyyy")
+
     return (
-        F.when(us_long, as_day(day, "M/d/yyyy"))
+        F.when(F.contains(day, F.lit("/")) & ~year_first, numbered("/", "/"))
         .when(iso, text.try_cast("date"))
-        .when(us_short, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))
-        .when(us_dashed, as_day(day, "M-d-yyyy"))
-        .when(year_first, as_day(day, "yyyy/M/d"))
-        .when(named, as_day(F.concat_ws(
-            " ", month, F.regexp_extract(text, MONTH_NAMED, 1), F.regexp_extract(text, MONTH_NAMED, 2)), "MMM d yyyy"))
+        .when(year_first, _as_day(day, "yyyy/M/d"))
+        .when(compact, _as_day(day, "yyyyMMdd"))
+        .when(text.rlike(MONTH_NAMED), named(MONTH_NAMED, 1, 2))
+        .when(text.rlike(DAY_NAMED), named(DAY_NAMED, 2, 1))
+        .otherwise(F.coalesce(numbered("-", "-"), numbered(".", "[.]")))
     )
 
 
+def day_first_vote(text: Column) -> Column:
+    """1 for a numbered date that is only read with the day first, -1 for one with the month first, 0 for all else."""
+    text = F.trim(text.cast("string"))
+    first, second = (F.regexp_extract(text, NUMBERED, i).try_cast("int") for i in (1, 3))
+    return F.when((first > 12) & (second <= 12), F.lit(1)).when((second > 12) & (first <= 12), F.lit(-1)).otherwise(F.lit(0))
+
+
+def day_first_by(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """`(*by, day_first)`: whether a column's numbered dates have the day first, told by all rows of the group (a file, say)
+    whose order is certain. A group without such rows keeps the month first."""
+    return df.groupBy(*by).agg((F.coalesce(F.sum(day_first_vote(F.col(column))), F.lit(0)) > 0).alias("day_first"))
+
+
+def with_elected_dates(df: DataFrame, column: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
+    """`out` (by default `column` itself) as DATE, the order of day and month elected for each group."""
+    if by:
+        names = [f"_{name}" for name in by]
+        elected = day_first_by(df, column, by).withColumnsRenamed(dict(zip(by, names)))
+        same = [F.col(name).eqNullSafe(F.col(other)) for name, other in zip(by, names)]
+        joined = df.join(elected, reduce(and_, same)).drop(*names)
+        order = F.col("day_first")
+    else:
+        joined, order = df, day_first_by(df, column).scalar()
+    return joined.withColumn(out or column, parse_date(F.col(column), order)).drop("day_first")
+
+
+def unreadable_dates(df: DataFrame, column: str, parsed: str) -> DataFrame:
+    """Rows with a date text that no form fits."""
+    return df.filter((F.trim(F.col(column)) != "") & F.col(parsed).isNull())
+
+
 def us_date_text(day: Column) -> Column:
     """`M/D/YYYY` without leading zeros, the export form."""
     return F.date_format(day, "M/d/yyyy")

@@ -34,6 +34,19 @@ def total_patients_approx(days: DataFrame, error: float = 0.02) -> DataFrame:
     return days.agg(F.approx_count_distinct("patient_id", error).alias("total_patients"))
 
 
+def patient_sketches(charges: DataFrame, bits: int = 14) -> DataFrame:
+    """`(month, provider_raw, sketch)`: mergeable patient counts, to be stored beside the charges. A new month adds its rows;
+    `bits` 14 errs by less than 1 % at one standard deviation."""
+    rows = charges.filter(F.col("service_date").isNotNull() & present(F.col("patient_id")))
+    return rows.groupBy(dates.month_start(F.col("service_date")).alias("month"), "provider_raw").agg(
+        F.hll_sketch_agg("patient_id", F.lit(bits)).alias("sketch"))
+
+
+def patients_from_sketches(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Estimated distinct patients of any union of months and providers, from the stored sketches alone."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimated_patients"))
+
+
 def new_patients_weekly(days: DataFrame, cfg: PracticeConfig) -> DataFrame:
     """New patients per week since the reporting start, 4-week mean and running total."""
     fresh = first_visits(days).filter(F.col("first_visit") >= F.lit(cfg.fact_start))

@@ -1,29 +1,27 @@
 """Data-quality checks: one row `(table_name, check_name, passed, measured, bound)` per check.
 
-All row-level measures of a table come from one scan; duplicate counts are one aggregation per key.
+A table is read twice: once for all row-level measures and its provider names, once for all duplicate counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitledger import config as C
 from visitledger.config import PracticeConfig
-from visitledger.functions import dates, rules
+from visitledger.functions import dates, money, rules
 from visitledger.operators import series
-from visitledger.operators.dedup import duplicates_of, present
+from visitledger.operators.dedup import present
 from visitledger.operators.merge import overlap_count
 from visitledger.sources import schemas as S
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def _check(name: str, measured: Column, bound: float, passed: Column) -> Column:
     return F.struct(F.lit(name).alias("check_name"), F.coalesce(passed, F.lit(False)).alias("passed"),
                     measured.cast("double").alias("measured"), F.lit(float(bound)).alias("bound"))
@@ -66,47 +64,97 @@ def header_checks(table: str, df: DataFrame, header: list[str], required: tuple[
         rows, "table_name string, check_name string, passed boolean, measured double, bound double")
 
 
-def _date_checks(measures: dict[str, Column], day: Column, cfg: PracticeConfig) -> list[Column]:
-    measures |= {
-        "bad_dates": _share(day.isNull()),
-        "span": F.coalesce(F.date_diff(F.max(day), F.min(day)), F.lit(0)),
-        "too_old": F.count_if(day < F.lit(cfg.earliest_date)),
-        "too_new": F.count_if(day > F.lit(cfg.as_of + timedelta(days=90))),
-    }
+class Scan:
+    """Measures of a table from two reads of it, which run side by side.
+
+    One counts what rows show by themselves, by provider name where names are judged too. The other folds rows to distinct ones,
+    known by a 128-bit digest, and those to their keys, to count what repeats. `count` and the others give columns of the
+    one-row result.
+    """
+
+    def __init__(self, df: DataFrame, name: str | None = None):
+        self.df, self.name, self.flags, self.keys, self.day = df, name, {}, [], None
+
+    def count(self, hit: Column) -> Column:
+        name = f"count_{len(self.flags)}"
+        self.flags[name] = hit
+        return F.col(name)
+
+    def share(self, hit: Column, of: Column | None = None, empty: float = 0.0) -> Column:
+        """Share of rows that hit, of the rows in `of`; `empty` for an empty base."""
+        base = F.col("n") if of is None else self.count(of)
+        return F.coalesce(F.try_divide(self.count(hit if of is None else hit & of).cast("double"), base), F.lit(empty))
+
+    def repeats(self, keys: Sequence[str]) -> Column:
+        """Rows that repeat an earlier key; rows with a blank part of it are left out."""
+        self.keys.append(keys)
+        return F.col(f"repeats_{len(self.keys)}")
+
+    def result(self, judged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """One row: `n`, `exact` (rows that repeat an earlier row), `first_day`, `last_day` and what was asked for.
+
+        `judged` adds a flag `unknown` to the table's names; the result then has the share of unknown ones.
+        """
+        day = F.lit(None).cast("date") if self.day is None else self.day
+        counts = {"n": F.count(F.lit(1))} | {name: F.count_if(hit) for name, hit in self.flags.items()}
+        by_name = self.df.groupBy(*[self.name] if judged else []).agg(
+            F.min(day).alias("first_day"), F.max(day).alias("last_day"), *[c.alias(name) for name, c in counts.items()])
+        listed = F.col("unknown").isNotNull() if judged else F.lit(False)
+        rows = judged(by_name) if judged else by_name.withColumn("unknown", F.lit(None).cast("boolean"))
+        measures = rows.agg(
+            F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+            *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
+            F.coalesce(F.try_divide(F.count_if("unknown").cast("double"), F.count_if(listed)), F.lit(0.0)).alias("unknown"))
+        # Two single rows; as sides of a join, unlike a subquery, both are computed at the same time.
+        return measures.withColumn("_one", F.lit(1)).join(self._repeats().withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+    def _repeats(self) -> DataFrame:
+        columns = dict(zip(("row_a", "row_b"), _row_digest(self.df.columns)))
+        for i, keys in enumerate(self.keys, 1):
+            filled = reduce(and_, [present(F.col(key)) for key in keys])
+            columns |= {f"key_{i}{half}": F.when(filled, digest) for half, digest in zip("ab", _row_digest(keys))}
+        distinct = self.df.select(*[c.alias(name) for name, c in columns.items()]).groupBy("row_a", "row_b").agg(
+            F.count(F.lit(1)).alias("n"), *[F.max(name).alias(name) for name in columns if name.startswith("key")])
+        # A line for the row's own copies (of 0) and one for each of its keys; a blank key has no line.
+        lines = [F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.col("n") - 1]
+        for i in range(1, len(self.keys) + 1):
+            lines += [F.lit(i), F.col(f"key_{i}a"), F.col(f"key_{i}b"), F.col("n")]
+        stacked = distinct.select(F.stack(F.lit(1 + len(self.keys)), *lines).alias("of", "a", "b", "n")).where("a is not null")
+        grouped = stacked.groupBy("of", "a", "b").agg(F.sum("n").alias("n"))
+        extra = F.when(F.col("of") == 0, F.col("n")).otherwise(F.col("n") - 1)
+
+        def total(of: int, name: str) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("of") == of, extra)), F.lit(0)).alias(name)
+
+        return grouped.agg(total(0, "exact"), *[total(i, f"repeats_{i}") for i in range(1, len(self.keys) + 1)])
+
+
+def _row_digest(columns: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits of a row, nulls told apart from their place."""
+    cells = [part for name in columns for part in (F.col(name), F.col(name).isNull())]
+    return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *cells)
+
+
+def _date_checks(scan: Scan, day: Column, cfg: PracticeConfig) -> list[Column]:
+    scan.day = day
+    span = F.coalesce(F.date_diff("last_day", "first_day"), F.lit(0))
     return [
-        at_most("unreadable dates", F.col("bad_dates"), 0.05), at_least("date span days", F.col("span"), 60),
-        at_most("dates before start", F.col("too_old"), 0), at_most("dates far ahead", F.col("too_new"), 0),
+        at_most("unreadable dates", scan.share(day.isNull()), 0.05), at_least("date span days", span, 60),
+        at_most("dates before start", scan.count(day < F.lit(cfg.earliest_date)), 0),
+        at_most("dates far ahead", scan.count(day > F.lit(cfg.as_of + timedelta(days=90))), 0),
     ]
 
 
-def _id_checks(measures: dict[str, Column], column: str, prefix: str) -> list[Column]:
-    text = F.trim(F.col(column).cast("string"))
-    filled = present(F.col(column))
-    measures |= {
-        f"{column}_hashed": F.coalesce(
-            F.try_divide(F.count_if(filled & F.startswith(text, F.lit(prefix))).cast("double"), F.count_if(filled)),
-            F.lit(1.0)),
-        f"{column}_raw": F.count_if(filled & text.rlike("^[0-9]{5,}$")),
-    }
+def _id_checks(scan: Scan, column: str, prefix: str) -> list[Column]:
+    text, filled = F.trim(F.col(column).cast("string")), present(F.col(column))
     return [
-        at_least(f"{column} hashed", F.col(f"{column}_hashed"), 1.0),
-        at_most(f"{column} raw numbers", F.col(f"{column}_raw"), 0),
+        at_least(f"{column} hashed", scan.share(F.startswith(text, F.lit(prefix)), filled, 1.0), 1.0),
+        at_most(f"{column} raw numbers", scan.count(filled & text.rlike("^[0-9]{5,}$")), 0),
     ]
 
 
-def _null_checks(measures: dict[str, Column], columns: tuple[str, ...]) -> list[Column]:
-    measures |= {f"{name}_null": _share(~present(F.col(name))) for name in columns}
-    return [at_most(f"{name} missing", F.col(f"{name}_null"), 0.10) for name in columns]
-
-
-def _duplicate_check(table: str, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    return _rows(table, duplicates_of(df, keys), [at_most(name, F.col("duplicates"), 0)])
-
-
-def _exact_duplicates(table: str, df: DataFrame) -> DataFrame:
-    groups = df.groupBy(*[F.col(name) for name in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-    extra = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-    return _rows(table, extra, [at_most("exact duplicates", F.col("duplicates"), 0)])
+def _null_checks(scan: Scan, columns: tuple[str, ...]) -> list[Column]:
+    return [at_most(f"{name} missing", scan.share(~present(F.col(name))), 0.10) for name in columns]
 
 
 def provider_mapping(df: DataFrame, aliases: DataFrame, raw: str = "provider_raw") -> DataFrame:
@@ -120,45 +168,57 @@ def unknown_providers(df: DataFrame, aliases: DataFrame, cfg: PracticeConfig, ra
     return provider_mapping(df, aliases, raw).filter(~F.col("provider").isin(*cfg.providers))
 
 
-def _provider_check(table: str, df: DataFrame, aliases: DataFrame, cfg: PracticeConfig) -> DataFrame:
-    names = df.filter(present(F.col("provider_raw"))).select("provider_raw").distinct()
-    judged = rules.with_canonical_provider(names, "provider_raw", aliases)
-    share = judged.agg(_share(~F.col("provider").isin(*cfg.providers)).alias("unknown"))
-    return _rows(table, share, [at_most("unknown provider names", F.col("unknown"), 0.05)])
-
-
 def charge_checks(charges: DataFrame, aliases: DataFrame, cfg: PracticeConfig) -> DataFrame:
     """Checks of the typed charge table before de-duplication."""
-    measures: dict[str, Column] = {"n": F.count(F.lit(1))}
+    scan = Scan(charges, "provider_raw")
     checks = [above("row count", F.col("n"), cfg.min_charge_rows)]
-    checks += _date_checks(measures, F.col("service_date"), cfg)
-    checks += _id_checks(measures, "patient_id", "pid_") + _id_checks(measures, "encounter_id", "eid_")
-    checks += _null_checks(measures, ("service_date", "provider_raw", "charge_amount", "procedure_code"))
+    checks += _date_checks(scan, F.col("service_date"), cfg)
+    checks += _id_checks(scan, "patient_id", "pid_") + _id_checks(scan, "encounter_id", "eid_")
+    checks += _null_checks(scan, ("service_date", "provider_raw", "charge_amount", "procedure_code"))
     if cfg.name_fragments:
-        known = reduce(lambda a, b: a | b, [rules.name_matches(F.col("provider_raw"), f) for f in cfg.name_fragments])
-        measures["known"] = _share(known, present(F.col("provider_raw")))
-        checks.append(at_least("rows with a known name", F.col("known"), 0.80))
-    scan = charges.agg(*[column.alias(name) for name, column in measures.items()])
-    return _union([
-        _rows("charges", scan, checks),
-        _exact_duplicates("charges", charges),
-        _duplicate_check("charges", charges, "line id duplicates", ["epid"]),
-        _duplicate_check("charges", charges, "composite duplicates", ["service_date", "encounter_id", "procedure_code"]),
-        _provider_check("charges", charges, aliases, cfg),
-    ])
+        known = reduce(or_, [rules.name_matches(F.col("provider_raw"), f) for f in cfg.name_fragments])
+        checks.append(at_least("rows with a known name", scan.share(known, present(F.col("provider_raw"))), 0.80))
+    checks += [
+        at_most("exact duplicates", F.col("exact"), 0), at_most("line id duplicates", scan.repeats(["epid"]), 0),
+        at_most("composite duplicates", scan.repeats(["service_date", "encounter_id", "procedure_code"]), 0),
+        at_most("unknown provider names", F.col("unknown"), 0.05)]
+
+    def judged(names: DataFrame) -> DataFrame:
+        named = rules.with_canonical_provider(names, "provider_raw", aliases)
+        listed = F.coalesce(F.col("provider").isin(*cfg.providers), F.lit(False))
+        return named.withColumn("unknown", F.when(present(F.col("provider_raw")), ~listed))
+
+    return _rows("charges", scan.result(judged), checks)
 
 
 def exam_checks(exams: DataFrame, cfg: PracticeConfig) -> DataFrame:
-    measures: dict[str, Column] = {"n": F.count(F.lit(1))}
+    scan = Scan(exams)
     checks = [above("row count", F.col("n"), cfg.min_exam_rows)]
-    checks += _date_checks(measures, F.col("service_date"), cfg)[:2]
-    checks += _id_checks(measures, "case_id", "cid_")[:1]
-    checks += _null_checks(measures, ("service_date", "focused", "opinions"))
-    scan = exams.agg(*[column.alias(name) for name, column in measures.items()])
-    return _union([
-        _rows("exams", scan, checks), _exact_duplicates("exams", exams),
-        _duplicate_check("exams", exams, "case id duplicates", ["case_id"]),
-    ])
+    checks += _date_checks(scan, F.col("service_date"), cfg)[:2]
+    checks += _id_checks(scan, "case_id", "cid_")[:1]
+    checks += _null_checks(scan, ("service_date", "focused", "opinions"))
+    checks += [at_most("exact duplicates", F.col("exact"), 0), at_most("case id duplicates", scan.repeats(["case_id"]), 0)]
+    return _rows("exams", scan.result(), checks)
+
+
+def landing_checks(table: str, raw: DataFrame, money_headers: Sequence[str], day_header: str) -> DataFrame:
+    """Checks of a raw export before typing, one scan: amounts that are no numbers or lose part of a cent, dates no form fits."""
+    measures = {}
+    for name in money_headers:
+        text = F.col(f"`{name}`")
+        filled = F.coalesce(F.trim(text) != "", F.lit(False))
+        measures[f"{name} unreadable"] = F.count_if(filled & ~money.is_money_text(text))
+        measures[f"{name} below cents"] = F.count_if(money.loses_cents(text))
+    text = F.col(f"`{day_header}`")
+    measures[f"{day_header} unreadable"] = F.count_if(F.coalesce(F.trim(text) != "", F.lit(False)) & dates.parse_date(text).isNull())
+    scan = raw.agg(*[column.alias(name) for name, column in measures.items()])
+    return _rows(table, scan, [at_most(name, F.col(f"`{name}`"), 0) for name in measures])
+
+
+def alias_checks(aliases: DataFrame) -> DataFrame:
+    """Names that the alias table gives more than one canonical name."""
+    scan = rules.alias_conflicts(aliases).agg(F.count(F.lit(1)).alias("n"))
+    return _rows("aliases", scan, [at_most("conflicting names", F.col("n"), 0)])
 
 
 def draft_checks(drafts: DataFrame, charges: DataFrame) -> DataFrame:
