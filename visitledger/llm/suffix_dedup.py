@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it starts anywhere else. Suffix arrays over the whole corpus would
 sort every byte; three steps leave only what can repeat, without missing any string:
 
-1. Each window of `length` bytes names its anchor: the place of its smallest 64-byte fingerprint (the first, if equal).
+1. Each window of `length` bytes names its anchor: the place of its smallest 256-byte fingerprint (the first, if equal).
    Equal windows name equal anchors at the same distance, so a window whose anchor occurs once repeats nowhere.
 2. What surrounds an anchor's occurrence, as far as its windows reach, is a region. Regions of one anchor go to one shard, so
    equal windows meet in a shard whatever document they come from; each distinct region is sent once by a task. An anchor with
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from visitledger.llm.common import kept, shuffle_parts, slices, text_bytes
 from visitledger.llm.shingles import BYTE, STEP, mixed
 
-GRAM = 64
+GRAM = 256
 SORT_BYTES = 4 << 20
 SEEN = 200_000
 #: Occurrences of an anchor above which its regions are cut to so many window starts.
