@@ -8,8 +8,9 @@ sort every byte; three steps leave only what can repeat, without missing any str
 2. What surrounds an anchor's occurrence, as far as its windows reach, is a region. Regions of one anchor go to one shard, so
    equal windows meet in a shard whatever document they come from; each distinct region is sent once by a task. An anchor with
    very many occurrences is cut finer: by distance between window and anchor, and by the bytes that such windows share.
-3. A shard sorts its windows with Larsson-Sadakane refinement, takes common prefixes of neighbours in Kasai's order, and
-   marks windows with a common prefix of `length`. Shards above the sorting bound are several arrays, merged by binary search.
+3. Where a region is the only distinct one of its shard, its copies repeat whole. The others' windows are sorted in each shard
+   with Larsson-Sadakane refinement; common prefixes of neighbours, in Kasai's order, mark windows that share `length` bytes.
+   Shards above the sorting bound are several arrays, merged by binary search.
 
 Defined results: null text is empty; texts shorter than `length` keep all bytes; overlapping repeats count; repeated rows
 repeat each other whole; an empty table gives an empty result; further columns are ignored. Bytes are cut without regard to
@@ -19,6 +20,7 @@ characters, so what is kept is binary.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -303,11 +305,14 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 def _marker(length: int):
     def mark(table: pa.Table) -> pa.Table:
-        ids, raws, counts = (table.column(c).to_pylist() for c in ("id", "raw", "n"))
-        distinct = dict(zip(ids, zip(raws, counts)))
-        names = list(distinct)
+        ids, shards, raws, counts = (table.column(c).to_pylist() for c in ("id", "shard", "raw", "n"))
+        distinct = dict(zip(ids, zip(raws, counts, shards)))
+        regions_of = Counter(shard for _, _, shard in distinct.values())
+        # A region without another one of its shard is equal to nothing but its own copies; only the others need arrays.
+        found = [(i, [0, len(raw)]) for i, (raw, n, shard) in distinct.items() if regions_of[shard] == 1 and n > 1]
+        names = [i for i, (_, _, shard) in distinct.items() if regions_of[shard] > 1]
         flags = repeated_windows([distinct[i][0] for i in names], [distinct[i][1] > 1 for i in names], length)
-        found = [(i, runs(f, length)) for i, f in zip(names, flags) if f.any()]
+        found += [(i, runs(f, length)) for i, f in zip(names, flags) if f.any()]
         return pa.Table.from_arrays(
             [pa.array([x[k] for x in found], f.type) for k, f in enumerate(SPANS)], schema=SPANS)
 
