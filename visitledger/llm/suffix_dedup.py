@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it starts anywhere else. Suffix arrays over the whole corpus would
 sort every byte; three steps leave only what can repeat, without missing any string:
 
-1. Each window of `length` bytes names its anchor: the place of its smallest 256-byte fingerprint (the first, if equal).
+1. Each window of `length` bytes names its anchor: the place of its smallest 128-byte fingerprint (the first, if equal).
    Equal windows name equal anchors at the same distance, so a window whose anchor occurs once repeats nowhere.
 2. What surrounds an anchor's occurrence, as far as its windows reach, is a region. Regions of one anchor go to one shard, so
    equal windows meet in a shard whatever document they come from; each distinct region is sent once by a task. An anchor with
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from visitledger.llm.common import kept, shuffle_parts, slices, text_bytes
 from visitledger.llm.shingles import BYTE, STEP, mixed
 
-GRAM = 256
+GRAM = 128
 SORT_BYTES = 4 << 20
 SEEN = 200_000
 #: Occurrences of an anchor above which its regions are cut to so many window starts.
@@ -345,14 +345,14 @@ def long_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         text_bytes(text_col).alias("text"))
     scanned = kept(rows.mapInArrow(
         _scanner(length), "seen long, doc_id long, n_bytes long, text_sha256 string, anchor array<long>, first array<int>, "
-        "last array<int>, place array<int>"), "repeat-anchors")
+        "last array<int>, place array<int>"), "repeat-anchors", "zstd")
     named = scanned.select("seen", F.explode(F.arrays_zip("anchor", "first", "last", "place")).alias("o")).select("seen", "o.*")
     often = named.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     wanted = named.join(often, "anchor").groupBy("seen").agg(
         F.collect_list(F.struct("anchor", "first", "last", "place", "n")).alias("occurrences"))
     regions = kept(rows.join(wanted, "seen").select("seen", "doc_id", "text", "occurrences").mapInArrow(
         _regions(length), "seen long, doc_id long, text binary, starts array<int>, ids array<long>, shards array<long>, "
-        "bytes array<binary>"), "repeat-regions")
+        "bytes array<binary>"), "repeat-regions", "zstd")
 
     each = regions.select("seen", F.explode(F.arrays_zip("starts", "ids")).alias("r")).select(
         "seen", F.col("r.starts").alias("at"), F.col("r.ids").alias("id"))
