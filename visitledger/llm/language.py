@@ -200,13 +200,14 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
             break
         least = r["step"]
     is_held = step >= least if least is not None else F.lit(False)
-    held = words.where(is_held).select("token", "found").collect()
-    table = np.zeros((len(held) + 1, len(langs)))
-    for i, r in enumerate(held):
-        table[i + 1] = floors[0]
-        for at, n in r["found"]:
-            table[i + 1, at] += np.log(n + SMOOTH) - np.log(SMOOTH)
-    value = uuid.uuid4().hex, [bytes(r["token"]) for r in held], table
+    # As Arrow columns: a row object for each word would be most of the driver's memory.
+    held = words.where(is_held).select("token", F.col("found.at").alias("at"), F.col("found.n").alias("n")).toArrow().combine_chunks()
+    at, n = (held.column(c).combine_chunks() for c in ("at", "n"))
+    table = np.zeros((held.num_rows + 1, len(langs)))
+    table[1:] = floors[0]
+    row, lang = pc.list_parent_indices(at).to_numpy() + 1, pc.list_flatten(at).to_numpy()
+    table[row, lang] += np.log(pc.list_flatten(n).to_numpy() + SMOOTH) - np.log(SMOOTH)
+    value = uuid.uuid4().hex, held.column("token").to_pylist(), table
     return Model(langs, floors, spark.sparkContext.broadcast(value), words.where(~is_held), grams)
 
 
