@@ -105,8 +105,9 @@ class Scan:
             F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
             *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
             F.coalesce(F.try_divide(F.count_if("unknown").cast("double"), F.count_if(listed)), F.lit(0.0)).alias("unknown"))
-        # Two single rows; as sides of a join, unlike a subquery, both are computed at the same time.
-        return measures.withColumn("_one", F.lit(1)).join(self._repeats().withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # Two single rows; as parts of a union, unlike a subquery, both are computed at the same time.
+        both = measures.unionByName(self._repeats(), allowMissingColumns=True)
+        return both.agg(*[F.max(name).alias(name) for name in both.columns])
 
     def _repeats(self) -> DataFrame:
         columns = dict(zip(("row_a", "row_b"), _row_digest(self.df.columns)))
