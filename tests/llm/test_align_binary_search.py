@@ -154,6 +154,24 @@ def test_grammar_round_trip():
             assert repair.expand_range(own, m["left"], m["right"], m["span"], 9, low, high).tolist() == row[low:high]
 
 
+def test_grammar_goes_on_until_no_pair_repeats():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        # Rare repeats among many symbols: each round replaces few of them.
+        rows = [rng.integers(1, 400, rng.integers(1, 300)) for _ in range(4)] + [np.full(7, 5)]
+        rows += [rows[0][:9], rows[1][-5:]]
+        m = repair.compress(np.concatenate(rows).astype(np.uint16), np.array(list(map(len, rows))), 400)
+        cut = np.cumsum(m["n_symbols"])[:-1]
+        seen: dict[tuple, int] = {}
+        for row in np.split(m["symbols"], cut):
+            at = 0
+            for at, pair in enumerate(zip(row[:-1].tolist(), row[1:].tolist())):
+                # "aaa" holds its pair twice, but only one of them can be replaced.
+                if pair[0] != pair[1] or at == 0 or row[at - 1] != pair[0]:
+                    seen[pair] = seen.get(pair, 0) + 1
+        assert max(seen.values(), default=0) <= 1
+
+
 def test_grammar_replaces_frequent_pairs():
     phrase = list(range(10, 26))
     flat = np.array(phrase * 64, np.uint16)
