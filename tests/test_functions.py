@@ -164,3 +164,12 @@ def test_sql_functions(spark):
     got = spark.sql("""SELECT week_end(DATE '2026-01-05') w, clean_money('$1,234.56') m, rvu_value('99213', 10, '') v,
         rvu_category('DOT', 10, '') c, exam_fee('6-10', '0', '1', NULL, '0') f, tier_payout(736D) p""").first()
     assert tuple(got) == (date(2026, 1, 9), Decimal("1234.56"), Decimal("1.30"), "DOT Physical", Decimal("530.00"), 1180.0)
+
+
+def test_dates_split_methods_and_odd_forms(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    texts = ["13/40/2020", "0/1/2020", "1/1/0000", "Jan 1, 0000", "2/30/2020", "1/2/2020\n", "20200102\n", "2020/1/2\n", "2/29/72", "1/5/69", "1/5/68",
+             "Sept. 5,  2021 10:00", "5-SEPT-2021", "05 may., 2021", "December 31 1999", "2020/13/1", "1/2-2020", "1-2-2020 x", "15.1.20"]
+    want = [None] * 8 + [date(1972, 2, 29), date(1969, 1, 5), date(2068, 1, 5), date(2021, 9, 5), date(2021, 9, 5), date(2021, 5, 5), date(1999, 12, 31),
+                         None, None, date(2020, 1, 2), date(2020, 1, 15)]
+    assert column(spark, texts, dates.parse_date) == want
