@@ -216,3 +216,34 @@ def test_noted_weeks_survive_a_lost_run(spark, tmp_path):
     keyed.append_new(spark, store.charges, spark.read.schema(typed.schema).parquet(staged), "epid", before=store.mark)
     assert store.refresh(spark) == [date(2026, 1, 1)] and store.refresh(spark) == []
     assert {r["week"] for r in store.read(spark).collect()} == {date(2026, 1, 9), date(2026, 1, 16)}
+
+
+# --- what a task gets ---------------------------------------------------------------------------------------------------
+
+
+def test_filters_shuffle_each_key_once(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("epid"), F.lit(date(2025, 1, 3)).alias("service_date"))
+    assert "Generate" not in plan(key_index.filters(rows, "epid"))
+
+
+def test_probes_are_fingerprints(spark):
+    stored, pull = (spark.createDataFrame([("a", date(2025, 1, 1), None)], DAYS) for _ in range(2))
+    text = plan(merge.additions(stored, pull, "epid", ("service_date",)))
+    assert "xxhash64(key a" in text and "concat(key" not in text
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1000
+
+
+def test_a_large_export_is_written_by_several_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    from visitledger.checks import CHECKS, storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _, label: str(tmp_path / label))
+    sizes = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    for name in sizes:
+        spark.conf.set(name, "40000")
+    try:
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+        assert CHECKS["csv_export_lines"].run(spark, sf_dir).count() == lines
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert len(list((tmp_path / "export").glob("*.csv"))) > 1
