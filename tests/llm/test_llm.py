@@ -381,7 +381,7 @@ def test_vectors_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     want = con.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
