@@ -385,7 +385,7 @@ def test_against_sql(spark, sf_dir, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     want = con.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
-    order = [want.columns[0]]
+    order = list(want.columns)
     assert got.sort_values(order).astype(str).values.tolist() == want.sort_values(order).astype(str).values.tolist()
 
 
