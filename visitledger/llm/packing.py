@@ -32,16 +32,16 @@ PIECES = pa.schema([
 def _encoder(path: str, end: int):
     def encode(batches):
         words, block, place = word_ids(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], ID).tobytes()
-        for part in slices(batches):
-            split = [t.split() for t in part.column(1).to_pylist()]
-            words.learn(set().union(*split))
-            ids = [b"".join(map(words.known.__getitem__, s)) + tail for s in split]
-            sizes = [len(x) // 2 for x in ids]
-            ends = np.cumsum(sizes)
+        for part in slices(batches, 4096, 8 << 20):
+            ids, ends = words.rows(part.column(1))
+            ids = np.insert(ids, ends, ID.type(end))
+            ends = ends + np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0)
+            raw = pa.Array.from_buffers(
+                pa.large_binary(), len(ends), [None, pa.py_buffer(2 * np.append(0, ends)), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(ids), block, np.int32)), pa.array(place + ends - sizes), part.column(0),
-                pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], schema=ENCODED)
+                pa.array(np.full(len(ends), block, np.int32)), pa.array(place + ends - sizes), part.column(0),
+                pa.array(sizes, pa.int64()), raw], schema=ENCODED)
             place += int(ends[-1])
 
     return encode
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = END_ID, vocabulary:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
     encoded = kept(
         rows.mapInArrow(_encoder(vocabulary or default_vocabulary(), end_id),
-                        "block int, place long, doc_id long, n long, ids binary"), "packing-ids")
+                        "block int, place long, doc_id long, n long, ids binary"), "packing-ids", "zstd")
     totals = encoded.groupBy("block").agg(F.sum("n").alias("block_n"))
     bases = totals.select("block", F.coalesce(
         F.sum("block_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
