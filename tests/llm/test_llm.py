@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,9 +19,10 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from visitledger.llm import (
     chunk_bpe, context_tree, exact_dedup, language, license_scan, ngram_join, packing, sharding, suffix_dedup, vector_dedup)
+from visitledger.llm.byte_tokens import byte_coder, public_path
 from visitledger.llm.components import components
 from visitledger.llm.queries import ORACLES, QUERIES
-from visitledger.llm.tokens import default_vocabulary
+from visitledger.llm.tokens import WordIds, default_vocabulary
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, seen long, key string, block int, size int, "
           "component string, words string, n long")
@@ -213,6 +215,22 @@ def test_repeats_of_frequent_anchors(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_copies_of_regions_are_one_row(spark, tmp_path, monkeypatch):
+    """Cuts of a frequent anchor are made once for all copies of a region, so no table of spans or pieces grows with copies."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdef ") for _ in range(700))
+    bodies = [passage] * 40 + [str(i) + passage + str(i) for i in range(5)]
+    monkeypatch.setattr(suffix_dedup, "FINER", ((2, 64), (4, 1)))
+    seen, write = {}, suffix_dedup.kept
+    monkeypatch.setattr(suffix_dedup, "kept", lambda df, label, *more: seen.setdefault(label, write(df, label, *more)))
+    frame = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").repartition(5)
+    got = suffix_dedup.remove_repeats(frame).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats([b.encode() for b in bodies], 400)
+    ids = seen["repeat-regions"].select(F.explode("ids").alias("id")).distinct().count()
+    assert seen["repeat-spans"].select("id").distinct().count() <= ids < 60
+    assert seen["repeat-spans"].count() <= 400 * ids
+
+
 def _with_finer(cutter, length, finer):
     def cut(batches):
         suffix_dedup.FINER, before = finer, suffix_dedup.FINER
@@ -245,6 +263,39 @@ def tokenizer():
     return Tokenizer.from_file(default_vocabulary())
 
 
+def test_words_share_pieces(tokenizer, monkeypatch):
+    """Columns of texts get the library's ids, and what words share goes to the library once."""
+    rng = random.Random(7)
+    some = [chr(i) for i in (*range(0x21, 0x250), *range(0x300, 0x310), *range(0x2000, 0x2060), 0x4E2D, 0x1F642)]
+    bodies = ["".join(rng.choices([*some, *"'stlvedm  "], k=rng.randint(0, 40))) for _ in range(3000)]
+    bodies += [f"a{c}B{c} {c}" for c in some] + ["", " ", "I'll they'RE'S <|endoftext|>x", "a\x1cb\x85c\u00a0d"]
+    raw = [b.encode() for b in bodies] + [b"\xff a\xc3", b"\xe2\x80 b"]
+    words = WordIds(default_vocabulary())
+    ids, ends = words.rows(pa.array(raw, pa.binary()))
+    want = [tokenizer.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids for r in raw]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    words.learn(set(raw[0].split()) | {b"House,"})
+    assert words.known[b"House,"] == np.array(tokenizer.encode("House,", add_special_tokens=False).ids, "<u2").tobytes()
+    sent, merger = [], words.merger
+    monkeypatch.setattr(words, "merger", type("Counted", (), {
+        "encode_batch_fast": staticmethod(lambda t, **more: sent.extend(t) or merger.encode_batch_fast(t, **more))}))
+    words.learn({b"house;", b"HOUSE.", b"(house)", b"Gartenzaun?", b"gartenzaun!"})
+    assert " ".join(sent).split().count("gartenzaun") == 1 and "house" not in " ".join(sent).split()
+
+
+def test_units_of_byte_level_texts():
+    """Whole columns get the ids that single texts have."""
+    rng = random.Random(8)
+    parts = [*"abcd'st.,019é中ß🙂", *[" x", "\ny", " 'll", "\n.", " don't", " "] * 3]
+    more = [*parts, "\t", "  ", "\n", "\x01", "\x85", "<|endoftext|>"]
+    raw = ["".join(rng.choices((parts, more)[k % 2], k=rng.randint(0, 20))).encode() for k in range(2000)]
+    raw += [b"", b" ", b"\n", b"a ", b" a", b"\xff a"]
+    coder = byte_coder(public_path("byte_bpe_50k.json"))
+    ids, ends = coder.rows(pa.array(raw, pa.binary()))
+    assert all(map(np.array_equal, np.split(ids, ends[:-1]), [coder.ids(r.decode("utf-8", "replace")) for r in raw]))
+    assert [len(x) for x in coder.rows(pa.array([], pa.binary()))] == [0, 0]
+
+
 def test_chunks(docs, rows, empty, tokenizer):
     out = by_id(chunk_bpe.encode_and_decode(docs), rows)
     for i, text in single(rows).items():
