@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
+import time
 import zlib
+from urllib.parse import unquote
 
 import duckdb
 import numpy as np
@@ -258,6 +261,51 @@ def test_suffix_arrays_merge(monkeypatch):
             assert all(list(f) == [seen[r[i:i + length]] > 1 for i in range(len(f))] for r, f in zip(regions, got))
 
 
+def test_induced_arrays():
+    """Regions met by their anchors: the marks of brute force, a shard's own, whatever the bytes and the order."""
+    rng = random.Random(5)
+    for _ in range(150):
+        length, core, met = rng.choice([12, 20, 33]), rng.choice([1, 4, 8]), {}
+        for shard in range(-2, rng.randint(-1, 2)):
+            sides = [bytes(rng.choice(b"ab\0\xff") for _ in range(length)) for _ in range(3)]
+            name = bytes([65 + shard]) + bytes(rng.choice(b"xy") for _ in range(core - 1))
+            for _ in range(rng.randint(1, 9)):
+                left, right = bytearray(rng.choice(sides)), bytearray(rng.choice(sides))
+                left[rng.randrange(length)] = right[rng.randrange(length)] = rng.choice(b"ab")
+                place = rng.randint(0, length - core)
+                after = rng.randint(length - core - place, length - core)
+                met[bytes(left[length - place:]) + name + bytes(right[:after]), place, shard] = None
+        regions, places, shards = zip(*rng.sample(list(met), len(met)))
+        seen: dict[tuple, int] = {}
+        for r, p, s in zip(regions, places, shards):
+            for i in range(len(r) - length + 1):
+                seen[s, p - i, r[i:i + length]] = seen.get((s, p - i, r[i:i + length]), 0) + 1
+        several = [rng.random() < 0.1 for _ in regions]
+        got = suffix_dedup.induced_windows(list(regions), several, list(shards), list(places), length)
+        assert all(list(f) == [again or seen[s, p - i, r[i:i + length]] > 1 for i in range(len(f))]
+                   for r, p, s, f, again in zip(regions, places, shards, got, several))
+
+
+def test_near_copies_of_regions_cost_little():
+    """Regions that share most of their bytes are marked in a fraction of the time that sorting all their suffixes takes."""
+    rng, rows = np.random.default_rng(3), []
+    for shard in range(600):
+        base = rng.integers(97, 123, 540).astype(np.uint8)
+        for k in range(3):
+            own = base.copy()
+            own[rng.integers(0, 140 if k else 540)] = 65 + k
+            rows.append((shard, own.tobytes()))
+    table = pa.table({
+        "id": range(len(rows)), "at": [0] * len(rows), "shard": [s for s, _ in rows], "piece": range(len(rows)),
+        "place": [140] * len(rows), "raw": [r for _, r in rows], "copies": [1] * len(rows)})
+    began = time.process_time()
+    got = dict(zip(*suffix_dedup._marker(400)(table).to_pydict().values()))
+    took, began = time.process_time() - began, time.process_time()
+    flags = suffix_dedup.repeated_windows([r for _, r in rows], [False] * len(rows), 400)
+    assert got == {i: suffix_dedup.runs(f, 400) for i, f in enumerate(flags) if f.any()}
+    assert 3 * took < time.process_time() - began
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(default_vocabulary())
@@ -552,3 +600,21 @@ def test_pipeline_without_labels(spark, docs, rows):
     for label in (F.lit(None).cast("string"), F.lit("und")):
         told = stage(spark, docs.select("doc_id", "text", label.alias("lang"), "source", "n_chars"), "")
         assert sorted(str(r["doc_id"]) for r in told.collect()) == worded
+
+
+def test_pipeline_tables_leave_the_disk(spark, docs, monkeypatch):
+    """No stage keeps the texts beside its result, and what the near stage made on the way goes when nothing reads it any more."""
+    tables = []
+    for module in (language, ngram_join):
+        monkeypatch.setattr(module, "kept", lambda df, label, *more, write=module.kept: tables.append(
+            (label, write(df, label, *more))) or tables[-1][1])
+    stages, at = dict(corpus_pipeline.STAGES), docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name in ("language", "exact", "near"):
+        at = corpus_pipeline.kept(stages[name](spark, at, ""), name)
+    assert at.count() > 0
+    held = dict(tables)
+    assert not any("text" in json.dumps(df.schema.jsonValue()) for _, df in tables)
+    folders = {label: unquote(df.inputFiles()[0].rpartition("/")[0]) for label, df in tables if label.startswith("ngram-") and df.inputFiles()}
+    assert spark.read.parquet(folders.pop("ngram-sets")).count() == held["ngram-sets"].count() > 0
+    assert {"ngram-shared", "ngram-postings", "ngram-counted", "ngram-segments", "ngram-prefix"} <= set(folders)
+    assert all(spark.read.schema(held[label].schema).parquet(path).isEmpty() for label, path in folders.items())

@@ -172,10 +172,10 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         F.col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("text"))
     counted = kept(
         rows.mapInArrow(_count_words, "lang string, token binary, n long").groupBy("lang", "token").agg(F.sum("n").alias("n")),
-        "language-words")
+        "language-words", "zstd")
     gram_counts = kept(
         counted.mapInArrow(_count_grams, "lang string, length int, token string, n long")
-        .groupBy("lang", "length", "token").agg(F.sum("n").alias("n")), "language-grams")
+        .groupBy("lang", "length", "token").agg(F.sum("n").alias("n")), "language-grams", "zstd")
 
     totals = {(0, r["lang"]): r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals |= {(r["length"], r["lang"]): r["n"] for r in gram_counts.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
@@ -186,8 +186,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         return df.join(places, "lang").groupBy(*keys, "token").agg(
             F.collect_list(F.struct("at", "n")).alias("found"), F.sum("n").alias("total"))
 
-    words = kept(by_token(counted), "language-model-words")
-    grams = kept(by_token(gram_counts, "length"), "language-model-grams")
+    words = kept(by_token(counted), "language-model-words", "zstd")
+    grams = kept(by_token(gram_counts, "length"), "language-model-grams", "zstd")
     distinct = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()} | {0: words.count()}
     floors = np.array([[
         np.log(SMOOTH / (totals.get((kind, lang), 0) + SMOOTH * (distinct.get(kind, 0) + 1))) for lang in langs]
@@ -234,9 +234,9 @@ def _backoff(words: DataFrame, model: Model) -> DataFrame:
             F.max(F.when(F.col("at") < 0, F.col("value"))).alias("n"), F.collect_list(F.struct("at", "value")).alias("sums"))
         means = F.transform(F.filter("sums", lambda x: x["at"] >= 0), lambda x: F.struct(
             x["at"].alias("at"), (x["value"] / F.col("n")).alias("value")))
-        done = kept(sums.select("word", F.lit(length).alias("kind"), means.alias("above")), f"language-backoff-{length}")
+        done = kept(sums.select("word", F.lit(length).alias("kind"), means.alias("above")), f"language-backoff-{length}", "zstd")
         out = out.union(done)
-        words = kept(words.join(done.select("word"), "word", "left_anti"), f"language-unseen-{length}")
+        words = kept(words.join(done.select("word"), "word", "left_anti"), f"language-unseen-{length}", "zstd")
         if words.isEmpty():
             break
     return out
@@ -253,12 +253,12 @@ def told(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         StructField("words", ArrayType(BinaryType())), StructField("counts", ArrayType(LongType()))]))
     if not model.langs:
         return scored.select("row.*", "lettered", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    scored = kept(scored, "language-held")
+    scored = kept(scored, "language-held", "zstd")
 
     rest = scored.select("place", F.explode(F.arrays_zip("words", "counts")).alias("x")).select(
         "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     looked_up = kept(rest.select("word").distinct().join(
-        model.words.select(F.col("token").alias("word"), "found"), "word", "left"), "language-rest")
+        model.words.select(F.col("token").alias("word"), "found"), "word", "left"), "language-rest", "zstd")
     values = looked_up.where(F.col("found").isNotNull()).select(
         "word", F.lit(0).alias("kind"), _above("found", F.lit(1)).alias("above")).union(
         _backoff(looked_up.where(F.col("found").isNull()).select("word"), model))

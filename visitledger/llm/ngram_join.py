@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitledger.llm.common import kept, shuffle_parts, slices, text_bytes
+from visitledger.llm.common import emptied, kept, shuffle_parts, slices, text_bytes
 from visitledger.llm.components import components
 from visitledger.llm.shingles import set_keys, shingle_sets
 
@@ -154,31 +154,35 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     rows = docs.select(
         F.monotonically_increasing_id().alias("seen"), F.col(id_col).cast("bigint").alias("doc_id"),
         text_bytes(text_col).alias("text"))
-    sets = kept(rows.mapInArrow(_sets(size), "seen long, doc_id long, key long, n long"), "ngram-sets")
+    sets = kept(rows.mapInArrow(_sets(size), "seen long, doc_id long, key long, n long"), "ngram-sets", "zstd")
     shared = kept(
         rows.select("text").mapInArrow(
             _segments(size, bits), "fragment int, counted boolean, keys binary, counts binary, tokens binary")
-        .groupBy("fragment").applyInArrow(_shared, "key long, tokens array<long>"), "ngram-shared")
+        .groupBy("fragment").applyInArrow(_shared, "key long, tokens array<long>"), "ngram-shared", "zstd")
 
     # A link needs an overlap of `percent` of either set, so at least that much of a set is shared with some other set.
     classes = sets.where("n > 0").groupBy("key").agg(F.first("n").alias("n"))
     may = shared.groupBy("key").agg(F.sum(F.size("tokens")).alias("held")).join(classes, "key").where(
         F.col("held") * 100 >= F.col("n") * percent).select("key", "n")
-    postings = kept(shared.join(may, "key").select("key", "n", F.explode("tokens").alias("token")).distinct(), "ngram-postings")
+    held = kept(
+        shared.join(may, "key").select("key", "n", F.explode("tokens").alias("token")).distinct(), "ngram-postings", "zstd")
+    emptied(shared)
     counted = kept(
-        postings.join(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "ngram-counted")
+        held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "ngram-counted", "zstd")
+    emptied(held)
     alive = counted.groupBy("key", "n").agg(F.count("*").alias("held")).where(
         F.col("held") * 100 >= F.col("n") * percent).select("key", (F.col("n") - F.col("held")).alias("alone"))
     alive = counted.join(alive, "key")
 
     fragment = F.shiftrightunsigned("token", 62).cast("int")
     segments = kept(
-        alive.groupBy("key", fragment.alias("fragment")).agg(F.collect_list("token").alias("tokens")), "ngram-segments")
+        alive.groupBy("key", fragment.alias("fragment")).agg(F.collect_list("token").alias("tokens")), "ngram-segments", "zstd")
     # n-grams that no other set holds are the rarest, so they come before all others.
     place = F.col("alone") + F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
     prefix = kept(
         alive.select("token", "df", "key", "n", "alone", place.alias("place")).where(
-            F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "ngram-prefix")
+            F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "ngram-prefix", "zstd")
+    emptied(counted)
     columns = ("key", "n", "alone", "place", "component", "hub", "common")
     postings = prefix.withColumn("component", F.col("key")).withColumns(
         {"hub": F.lit(None).cast("bigint"), "common": F.lit(None).cast("bigint")})
@@ -214,7 +218,9 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     best = met.groupBy("own").agg(F.min(full).alias("full")).select(
         "own", F.col("full.key").alias("hub"), F.least("own", "full.key").alias("a"), F.greatest("own", "full.key").alias("b"))
     pairs = paired(hubs, postings).join(best.select("a", "b").distinct(), ["a", "b"])
-    checked = kept(_overlaps(kept(pairs, "ngram-pairs"), segments), "ngram-overlaps")
+    pairs = kept(pairs, "ngram-pairs", "zstd")
+    checked = kept(_overlaps(pairs, segments), "ngram-overlaps", "zstd")
+    emptied(pairs)
     links = checked.where(similar).select("a", "b")
     labels = components(links)
 
@@ -224,7 +230,7 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
         "component": F.coalesce("component", "key"), "hub": F.coalesce("hub", "key"), "common": F.coalesce("common", "n")})
     left = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low <> high").select("token")
-    postings = kept(postings.join(left, "token"), "ngram-open")
+    postings = kept(postings.join(left, "token"), "ngram-open", "zstd")
     if not postings.isEmpty():
         # With both prefixes at hand a pair is a row once, in the list of its first shared n-gram. Beyond the prefix that ends
         # first nothing but the rest of that set can be shared.
@@ -235,8 +241,10 @@ def near_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
         behind = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_a", "n_b")])
         pairs = kept(paired(
             listed, listed, F.col("key_a") < F.col("key_b"), F.element_at(shared_rare, 1) == F.col("token"),
-            (F.size(shared_rare) + behind) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent), "ngram-pairs")
+            (F.size(shared_rare) + behind) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent), "ngram-pairs", "zstd")
         labels = components(links.union(_overlaps(pairs, segments).where(similar).select("a", "b")))
+        emptied(pairs)
+    emptied(segments, prefix, checked, postings)
     return sets, labels.withColumnRenamed("node", "key")
 
 
