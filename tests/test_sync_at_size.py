@@ -80,3 +80,8 @@ def test_slices_add_the_same_rows(spark, tmp_path, monkeypatch, with_keyless):
     assert spark.read.parquet(table).count() == 150 + n
     again = keyed.append_new(spark, table, new, "id", FALLBACK, day="day")
     assert again == 0 and spark.read.parquet(table).count() == 150 + n
+
+
+def test_windowed_sync_leaves_no_scratch_folders(spark, tmp_path):
+    assert not _pulled(spark, tmp_path, window=(date(1999, 1, 1), date(1999, 6, 30)))
+    assert spark.read.parquet(f"{tmp_path}/charges").count() + spark.read.parquet(f"{tmp_path}/charges-rejected").count() == 60
