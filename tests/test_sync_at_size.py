@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from visitledger.config import PracticeConfig
 from visitledger.operators import dedup, merge
 from visitledger.plans import sync
+from visitledger.plans.weekly_store import WeeklyStore
 from visitledger.session import shared_dir
 from visitledger.sources import keyed
 from visitledger.sources import schemas as S
@@ -85,3 +86,10 @@ def test_slices_add_the_same_rows(spark, tmp_path, monkeypatch, with_keyless):
 def test_windowed_sync_leaves_no_scratch_folders(spark, tmp_path):
     assert not _pulled(spark, tmp_path, window=(date(1999, 1, 1), date(1999, 6, 30)))
     assert spark.read.parquet(f"{tmp_path}/charges").count() + spark.read.parquet(f"{tmp_path}/charges-rejected").count() == 60
+
+
+def test_sync_with_weekly_store_leaves_no_scratch_folders(spark, tmp_path):
+    cfg = PracticeConfig(as_of=date(2001, 8, 15))
+    store = WeeklyStore(f"{tmp_path}/weekly", f"{tmp_path}/charges", f"{tmp_path}/exams", cfg)
+    assert not _pulled(spark, tmp_path, weekly=store)
+    assert spark.read.parquet(f"{tmp_path}/weekly").count() == 12
