@@ -19,6 +19,8 @@ from visitledger.operators.dedup import keep_first
 from visitledger.sources.tables import CHUNK_DAYS, MONTH
 
 NAME = "date_chunks"
+#: Rows of a batch, and bytes of a column that are read at once.
+BATCH_ROWS, BUFFER = 1 << 13, 1 << 18
 
 
 class Chunk(InputPartition):
@@ -87,7 +89,31 @@ class ChunkReader(DataSourceReader):
         inside = (pc.field(self.day) >= chunk.start) & (pc.field(self.day) <= chunk.end)
         for folder in held:
             rows = ds.dataset(folder, filesystem=system, format="parquet")
-            yield from rows.to_batches(columns=self.names, filter=inside, batch_size=1 << 14)
+            for fragment in rows.get_fragments(filter=inside):
+                groups = [g.id for part in fragment.split_by_row_group(filter=inside) for g in part.row_groups]
+                yield from self._batches(system, fragment.path, groups, rows.schema, chunk)
+
+    def _batches(self, system, path: str, groups: list[int], schema, chunk: Chunk) -> Iterator:
+        """Rows of the chunk in row groups of one file, page by page: a scanner would decode whole row groups, several ahead of those
+        that are asked for, in as many threads as there are cores."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        if not groups:
+            return
+        fields = [schema.field(name) for name in self.names]
+        with system.open_input_file(path) as source:
+            file = pq.ParquetFile(source, buffer_size=BUFFER, pre_buffer=False)
+            there = set(file.schema_arrow.names)
+            for batch in file.iter_batches(BATCH_ROWS, groups, [f.name for f in fields if f.name in there], use_threads=False):
+                columns = [
+                    batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in fields]
+                batch = pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+                day = batch.column(self.day)
+                batch = batch.filter(pc.and_(pc.greater_equal(day, chunk.start), pc.less_equal(day, chunk.end)))
+                if batch.num_rows:
+                    yield batch
 
 
 def months(start: date, end: date) -> list[date]:
